@@ -185,6 +185,12 @@ def _only(df: DataFrame, on: list[str], key: str = "key") -> DataFrame:
     return df.groupBy(*on).agg(F.min(key).alias("one"), F.max(key).alias("two")).filter("one = two").drop("two")
 
 
+def _fit(known: DataFrame, on: list[str], name: str) -> DataFrame:
+    """The one full name that offers each form, with its middle initial, if any is known."""
+    mids = known.groupBy(*on).agg(F.max("mid").alias(f"{name}_mid"))
+    return _only(known, on).withColumnRenamed("one", name).join(mids, on)
+
+
 def link(signatures: DataFrame, id_col: str = "sig_id", author_col: str = "author", email_col: str = "email") -> DataFrame:
     """(id, entity): the signatures that belong to a person or an organisation; entity is the same for all of one.
     Signatures of nobody (placeholders, machines, shared accounts) and null ids have no row. Repeated ids count once for
@@ -222,20 +228,21 @@ def link(signatures: DataFrame, id_col: str = "sig_id", author_col: str = "autho
     edges = [keyed.select(node.alias("a"), F.concat(F.lit("n:"), "key").alias("form"))]
     # what each full name offers to others' rewritings
     two = F.split("name", r"\|")
-    offered = keyed.select("key", "domain", "open", F.explode(F.array(
+    offered = keyed.select("key", "domain", "mid", F.explode(F.array(
         F.concat(F.lit("n:"), "name"),
         F.concat(F.lit("n:"), "name", F.lit("|"), F.coalesce("mid", F.lit("?"))),
         F.concat(F.lit("i:"), F.substring(two[0], 1, 1), F.lit("|"), two[1]),
         F.concat(F.lit("i:"), F.substring(two[1], 1, 1), F.lit("|"), two[0]),
     )).alias("form"))
-    near = _only(offered.filter("domain IS NOT NULL"), ["form", "domain"]).withColumnRenamed("one", "near")
-    far = _only(offered, ["form"]).withColumnRenamed("one", "far")
+    near = _fit(offered.filter("domain IS NOT NULL"), ["form", "domain"], "near")
+    far = _fit(offered, ["form"], "far")
     claims = people.filter("name IS NULL").select("id", "domain", "open", "mid", F.explode("claims").alias("form"))
     # a short form without the middle initial, where the full name is known with one, and the other way round
-    claims = claims.select("id", "domain", "open", F.explode(F.array_distinct(F.array("form", F.regexp_replace("form", r"^(n:[^|]*\|[^|]*)\|.*$", "$1")))).alias("form"))
+    claims = claims.select("id", "domain", "open", "mid", F.explode(F.array_distinct(F.array("form", F.regexp_replace("form", r"^(n:[^|]*\|[^|]*)\|.*$", "$1")))).alias("form"))
     fits = claims.join(near, ["form", "domain"], "left").join(far, "form", "left")
     anywhere = F.col("domain").isNull() | F.coalesce("open", F.lit(False))
-    fits = fits.select("id", F.col("near"), F.when(anywhere, F.col("far")).alias("far"))
+    no_clash = [F.coalesce(F.col("mid") == F.col(f"{n}_mid"), F.lit(True)) for n in ("near", "far")]
+    fits = fits.select("id", F.when(no_clash[0], F.col("near")).alias("near"), F.when(no_clash[1] & anywhere, F.col("far")).alias("far"))
     fits = fits.groupBy("id").agg(F.min("near").alias("n1"), F.max("near").alias("n2"), F.min("far").alias("f1"), F.max("far").alias("f2"))
     one = F.when(F.col("n1") == F.col("n2"), F.col("n1")).when(F.col("n1").isNull() & (F.col("f1") == F.col("f2")), F.col("f1"))
     fitted = fits.select("id", one.alias("key")).filter("key IS NOT NULL")

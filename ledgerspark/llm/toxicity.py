@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.markup import JOIN, plain
 
-#: Bits of the hashed feature space; rounds, folds and steps of fitting.
-BITS, ROUNDS, FOLDS, STEPS = 18, 4, 4, 70
+#: Bits of the hashed feature space; rounds, folds and steps of fitting, and how
+#: much more than a clean sentence one with offence weighs at most.
+BITS, ROUNDS, FOLDS, STEPS = 18, 3, 3, 60
+RAISE = 6.0
 #: Documents with ratings that are used for fitting, at most, and sentences of them without offence.
-MAX_RATED, MAX_CLEAN = 8_000, 30_000
+MAX_RATED, MAX_CLEAN = 8_000, 20_000
 #: Words of a stretch that is scored as one; longer sentences go in overlapping stretches.
 WINDOW = 24
 KINDS = ("abuse", "hate", "threat", "sexual", "toxic")
@@ -46,6 +48,7 @@ _SENTENCE = regex.compile(r"(?<=[.!?。!?…])\s+|[\r\n  ]+|\s+--\s+|(?<=[
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}@$!+](?P<s>[._*~\-])){1}(?:[\p{L}\p{N}@$!+](?P=s)?){2,}(?![\p{L}\p{N}])")
 _APART = regex.compile(r"(?<![\p{L}\p{N}'’])(?:\p{L} ){3,}\p{L}(?![\p{L}\p{N}'’])")
 _TOKEN = regex.compile(r"[\p{L}\p{N}@$!+|*€]+(?:['’]\p{L}+)?")
+_SIGNED = regex.compile(r"(?:--[ \t]*)?\[\[User(?:[ _]talk)?:[^\]\n]*\]\][ \t]*\d{1,2}:\d{2}, \d{1,2} \p{L}+(?: \d{4})?(?: \(UTC\))?")
 _RUN = regex.compile(r"(.)\1+")
 _HAS_LATIN = regex.compile(r"[a-z]")
 _OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
@@ -80,38 +83,47 @@ class Reader:
         self.memo: dict[str, str] = {}
         self.most = memo
 
+    def tokens(self, s: str) -> list[str]:
+        if "." in s or "_" in s or "-" in s or "*" in s or "~" in s:
+            s = _SPACED.sub(_joined, s)
+        s = _APART.sub(_joined, s)
+        latin = s.isascii() or bool(_HAS_LATIN.search(s.lower()))
+        out = []
+        for t in _TOKEN.findall(s):
+            key = t if latin else t + "\0"
+            c = self.memo.get(key)
+            if c is None:
+                if len(self.memo) >= self.most:
+                    self.memo.clear()
+                c = self.memo[key] = canonical(t, latin)[:64]
+            if c:
+                out.append(c)
+        return out
+
     def stretches(self, text: str) -> Iterator[list[str]]:
-        text = plain(text).replace(JOIN, "")
+        """Sentences and lines, long ones in overlapping stretches; a word or two by themselves run on into the next."""
+        text = plain(_SIGNED.sub("\n", text)).replace(JOIN, "")
+        short: list[str] = []
         for s in _SENTENCE.split(text):
             if not s or s.isspace():
                 continue
-            if "." in s or "_" in s or "-" in s or "*" in s or "~" in s:
-                s = _SPACED.sub(_joined, s)
-            s = _APART.sub(_joined, s)
-            latin = s.isascii() or bool(_HAS_LATIN.search(s.lower()))
-            out = []
-            for t in _TOKEN.findall(s):
-                key = t if latin else t + "\0"
-                c = self.memo.get(key)
-                if c is None:
-                    if len(self.memo) >= self.most:
-                        self.memo.clear()
-                    c = self.memo[key] = canonical(t, latin)[:64]
-                if c:
-                    out.append(c)
+            out = self.tokens(s)
+            if len(out) <= 2:
+                short += out
+                if len(short) < WINDOW:
+                    continue
+                out, short = short, []
+            elif short:
+                out, short = short + out, []
             for i in range(0, max(1, len(out) - WINDOW // 2), WINDOW // 2):
-                if out:
-                    yield out[i : i + WINDOW]
+                yield out[i : i + WINDOW]
+        if short:
+            yield short
 
 
-def token_rows(token: str) -> list[int]:
-    """Hashed features of one token: itself and its four-letter parts."""
-    mask = (1 << BITS) - 1
-    padded = f"<{token}>"
-    out = [zlib.crc32(token.encode()) & mask]
-    if token != "0":
-        out += [zlib.crc32(b"c" + padded[i : i + 4].encode()) & mask for i in range(len(padded) - 3)]
-    return out
+def token_row(token: str) -> int:
+    """Hashed feature of one token."""
+    return zlib.crc32(token.encode()) & ((1 << BITS) - 1)
 
 
 def pair_rows(h: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,50 +146,52 @@ def pair_rows(h: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(of)
 
 
-class Features:
-    """Token lists to sparse rows."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[list[int], int]] = {}
-
-    def matrix(self, stretches: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each entry, hashed feature of each entry)"""
-        rows, cols, h, seg = [], [], [], []
-        for i, s in enumerate(stretches):
-            for t in s:
-                k = self.known.get(t)
-                if k is None:
-                    k = self.known[t] = (token_rows(t), zlib.crc32(t.encode()))
-                rows += [i] * len(k[0])
-                cols += k[0]
-                h.append(k[1])
-                seg.append(i)
-        pc, pr = pair_rows(np.array(h, np.uint64), np.array(seg, np.int64))
-        return np.concatenate([np.array(rows, np.int64), pr]), np.concatenate([np.array(cols, np.int64), pc])
+def matrix(stretches: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hashed feature) of every entry: the tokens of each stretch, and each two and three neighbours."""
+    seg = np.repeat(np.arange(len(stretches)), [len(s) for s in stretches])
+    hashes: dict[str, int] = {}
+    h = np.array([hashes.setdefault(t, zlib.crc32(t.encode())) for s in stretches for t in s], np.uint64)
+    pc, pr = pair_rows(h, seg)
+    return np.concatenate([seg, pr]), np.concatenate([(h & np.uint64((1 << BITS) - 1)).astype(np.int64), pc])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression on sparse counts and dense extra columns, by Adam steps over all rows: weights of the hashed
-    features, and of extra with the intercept last."""
-    used, c = np.unique(cols, return_inverse=True)
-    x = np.concatenate([extra, np.ones((n, 1))], axis=1)
-    w, v = np.zeros(len(used)), np.zeros(x.shape[1])
-    mom = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
-    weight = weight / weight.sum()
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=w[c], minlength=n) + x @ v
-        g = (sigmoid(z) - y) * weight
-        for p, grad, i in ((w, np.bincount(c, weights=g[rows], minlength=len(used)) + l2 * w, 0), (v, x.T @ g, 2)):
-            mom[i] = 0.9 * mom[i] + 0.1 * grad
-            mom[i + 1] = 0.99 * mom[i + 1] + 0.01 * grad * grad
-            p -= 0.12 * (mom[i] / (1 - 0.9**t)) / (np.sqrt(mom[i + 1] / (1 - 0.99**t)) + 1e-7)
-    out = np.zeros(1 << BITS)
-    out[used] = w
-    return out, v
+class Rows:
+    """Sparse rows for fitting: features that just one stretch has are left out, as nothing can be learnt from them."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows, cols = rows[order], cols[order]
+        first = np.unique(rows.astype(np.int64) << BITS | cols)
+        often = np.bincount(first & ((1 << BITS) - 1), minlength=1 << BITS) > 1
+        keep = often[cols]
+        self.n, self.rows = n, rows[keep]
+        self.used, self.cols = np.unique(cols[keep], return_inverse=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=w[self.cols], minlength=self.n)
+
+    def fit(self, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+        """Logistic regression on counts and dense extra columns, by Adam steps over all rows of weight: weights of the
+        used features, and of extra with the intercept last."""
+        on = weight > 0
+        at = np.cumsum(on) - 1
+        entry = on[self.rows]
+        rows, cols, n = at[self.rows[entry]], self.cols[entry], int(on.sum())
+        x = np.concatenate([extra, np.ones((self.n, 1))], axis=1)[on]
+        y, weight = y[on], weight[on] / weight.sum()
+        w, v = np.zeros(len(self.used)), np.zeros(x.shape[1])
+        mom = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
+        for t in range(1, steps + 1):
+            g = (sigmoid(np.bincount(rows, weights=w[cols], minlength=n) + x @ v) - y) * weight
+            for p, grad, i in ((w, np.bincount(cols, weights=g[rows], minlength=len(w)) + l2 * w, 0), (v, x.T @ g, 2)):
+                mom[i] = 0.9 * mom[i] + 0.1 * grad
+                mom[i + 1] = 0.99 * mom[i + 1] + 0.01 * grad * grad
+                p -= 0.12 * (mom[i] / (1 - 0.9**t)) / (np.sqrt(mom[i + 1] / (1 - 0.99**t)) + 1e-7)
+        return w, v
 
 
 @dataclass
@@ -201,7 +215,7 @@ class Chain:
                     if k is None:
                         if len(self.known) >= 1 << 17:
                             self.known.clear()
-                        k = self.known[t] = (self.words[token_rows(t)].sum(0), zlib.crc32(t.encode()))
+                        k = self.known[t] = (self.words[token_row(t)], zlib.crc32(t.encode()))
                     j = at[t] = len(table)
                     table.append(k)
                 ids.append(j)
@@ -231,7 +245,7 @@ def kind_of(tokens: Sequence[str]) -> str:
 
 def fit_chain(rated: Sequence[tuple[str | None, int]], max_clean: int = MAX_CLEAN) -> Chain:
     """A chain from (text, 1 or 0) of rated documents."""
-    read, feats = Reader(), Features()
+    read = Reader()
     bags: list[tuple[list[int], int]] = []
     index: dict[tuple[str, ...], int] = {}
     seen_in: list[list[int]] = []
@@ -246,60 +260,60 @@ def fit_chain(rated: Sequence[tuple[str | None, int]], max_clean: int = MAX_CLEA
     if not bad or len(bad) == sum(1 for b, _ in bags if b):
         # nothing to tell apart: a chain that finds nothing
         return Chain(np.zeros((1 << BITS, len(KINDS))), [np.append(np.zeros(j), -30.0) for j in range(len(KINDS))])
-    clean = [i for i, (neg, pos) in enumerate(seen_in) if neg]
+    clean = [i for i, (neg, _) in enumerate(seen_in) if neg]
     if len(clean) > max_clean:
-        clean = sorted(clean, key=lambda i: (zlib.crc32(" ".join(stretches[i]).encode()), i))[:max_clean]
-    suspects = sorted({i for b, _ in bad for i in b if seen_in[i][1] > seen_in[i][0]})
-    use = sorted({*clean, *suspects})
+        # the ones that most documents have, then by hash
+        clean = sorted(clean, key=lambda i: (-seen_in[i][0], zlib.crc32(" ".join(stretches[i]).encode()), i))[:max_clean]
+    own_of = [[i for i in b if seen_in[i][1] > seen_in[i][0]] for b, _ in bad]
+    use = sorted({*clean, *(i for own in own_of for i in own)})
     place = {i: j for j, i in enumerate(use)}
-    rows, cols = feats.matrix([stretches[i] for i in use])
+    own_of = [[place[i] for i in own] for own in own_of]
     n = len(use)
+    x = Rows(*matrix([stretches[i] for i in use]), n)
     fold = np.array([zlib.crc32(b"f" + " ".join(stretches[i]).encode()) % FOLDS for i in use])
-    negative = np.zeros(n, bool)
-    negative[[place[i] for i in clean]] = True
-    neg_docs, pos_docs = max(1, sum(1 for b, y in bags if b and not y)), len(bad)
+    # a clean sentence weighs by the documents that have it
+    weight = np.zeros(n)
+    weight[[place[i] for i in clean]] = np.log2([1.0 + seen_in[i][0] for i in clean])
     # first suspicion: log odds of each feature between documents of either rating, by the sentences that have it
-    neg_n = np.bincount(cols, weights=np.array([seen_in[i][0] for i in use], float)[rows], minlength=1 << BITS)
-    pos_n = np.bincount(cols, weights=np.array([seen_in[i][1] for i in use], float)[rows], minlength=1 << BITS)
-    odds = np.log((pos_n + 0.5) / (pos_docs + 1)) - np.log((neg_n + 0.5) / (neg_docs + 1))
-    size = np.maximum(1, np.bincount(rows, minlength=n))
-    score = np.bincount(rows, weights=odds[cols], minlength=n) / size
+    seen = np.array([seen_in[i] for i in use], float)
+    neg_n, pos_n = (np.bincount(x.cols, weights=seen[x.rows, k], minlength=len(x.used)) for k in (0, 1))
+    odds = np.log((pos_n + 0.5) / (len(bad) + 1)) - np.log((neg_n + 0.5) / (len(bags) - len(bad) + 1))
+    score = x.times(odds) / np.maximum(1, np.bincount(x.rows, minlength=n))
     no = np.zeros((n, 0))
-    chosen: set[int] = set()
+
+    def weights(y: np.ndarray) -> np.ndarray:
+        """Sentences with offence are raised, but by no more than RAISE: one wrong rating must not outweigh many right."""
+        return np.where(y > 0, min(RAISE, weight.sum() / max(1.0, y.sum())), weight)
+
+    y = np.zeros(n)
     for r in range(ROUNDS):
-        chosen = set()
-        for b, _ in bad:
-            own = [place[i] for i in b if i in place and seen_in[i][1] > seen_in[i][0]]
+        y = np.zeros(n)
+        for own in own_of:
             if own:
                 top = max(own, key=lambda j: score[j])
-                chosen.add(top)
+                if r < 2 or score[top] > 0:
+                    y[top] = 1
                 if r:
-                    chosen.update(j for j in own if score[j] > max(2.0, score[top] * 0.5))
-        y = np.zeros(n)
-        y[list(chosen)] = 1
-        train = negative | (y > 0)
-        w = np.where(y > 0, (train & (y == 0)).sum() / max(1, y.sum()) * 0.5, 1.0) * train
+                    y[[j for j in own if score[j] > 2.0]] = 1
         # each sentence is judged by a model that hasn't seen it
-        score = np.zeros(n)
+        w, score = weights(y), np.zeros(n)
         for f in range(FOLDS):
-            got, inter = fit_linear(rows, cols, n, no, y, w * (fold != f) + 1e-12)
-            z = np.bincount(rows, weights=got[cols], minlength=n) + inter[-1]
-            score[fold == f] = z[fold == f]
-    # a sentence of a bad document that its own fold's model calls clean is more likely a wrong rating
-    y = np.zeros(n)
-    y[[j for j in chosen if score[j] > -1.0] or list(chosen)] = 1
-    train = negative | (y > 0)
-    kinds = [kind_of(stretches[i]) if y[j] else "" for j, i in enumerate(use)]
+            got, inter = x.fit(no, y, w * (fold != f))
+            score[fold == f] = (x.times(got) + inter[-1])[fold == f]
+    # what no other sentence makes look bad is more likely a wrong rating
+    if (y * (score > 0)).any():
+        y = y * (score > 0)
+    kinds = np.array([kind_of(stretches[i]) if y[j] else "" for j, i in enumerate(use)])
     words, links, held = np.zeros((1 << BITS, len(KINDS))), [], np.zeros((n, len(KINDS)))
     for j, kind in enumerate(KINDS):
-        t = y if kind == "toxic" else np.array([k == kind for k in kinds], float)
-        w = np.where(t > 0, (train & (t == 0)).sum() / max(1, t.sum()) * 0.5, 1.0) * train
+        t = y if kind == "toxic" else (kinds == kind).astype(float)
+        w = weights(t) * ((weight > 0) | (y > 0))
         for f in range(FOLDS):
-            got, inter = fit_linear(rows, cols, n, held[:, :j], t, w * (fold != f) + 1e-12)
-            z = np.bincount(rows, weights=got[cols], minlength=n) + np.concatenate([held[:, :j], np.ones((n, 1))], axis=1) @ inter
+            got, inter = x.fit(held[:, :j], t, w * (fold != f))
+            z = x.times(got) + np.concatenate([held[:, :j], np.ones((n, 1))], axis=1) @ inter
             held[fold == f, j] = sigmoid(z)[fold == f]
-        got, inter = fit_linear(rows, cols, n, held[:, :j], t, w)
-        words[:, j] = got
+        got, inter = x.fit(held[:, :j], t, w)
+        words[x.used, j] = got
         links.append(inter)
     # threshold: best F1 of documents by out-of-fold scores
     docs = [(max((held[place[i], -1] for i in b if i in place), default=0.0), y) for b, y in bags]
@@ -310,7 +324,7 @@ def fit_chain(rated: Sequence[tuple[str | None, int]], max_clean: int = MAX_CLEA
         f1 = 2 * tp / (k + 1 + total)
         if f1 > best and (k + 1 == len(docs) or docs[k + 1][0] < s):
             best, at = f1, (s + (docs[k + 1][0] if k + 1 < len(docs) else 0)) / 2
-    return Chain(words, links, float(min(max(at, 0.3), 0.9)))
+    return Chain(words, links, float(min(max(at, 0.5), 0.9)))
 
 
 def ratings(labels: DataFrame, doc_col: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
