@@ -126,3 +126,17 @@ def lru_cache(reads: DataFrame, most_bytes: int) -> DataFrame:
         return (kept, used), [(row["reader"], row["at"], b, hit)]
 
     return fold(reads, ["reader"], ["at", "block"], lambda k: (OrderedDict(), 0), step, "reader long, at long, block long, hit boolean")
+
+
+def negative_cache(lookups: DataFrame, ttl_s: int) -> DataFrame:
+    """(subject, at, id, asked): of lookups (subject, at timestamp, id, found), whether each was really asked: one that
+    found nothing answers for its subject for ttl_s seconds."""
+    rows = lookups.select("subject", "at", "id", "found", F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
+
+    def step(until: int | None, row: dict) -> tuple[int | None, list[tuple]]:
+        asked = until is None or row["us"] is None or row["us"] >= until
+        if asked:
+            until = None if row["found"] or row["us"] is None else row["us"] + ttl_s * 1_000_000
+        return until, [(row["subject"], row["at"], row["id"], asked)]
+
+    return fold(rows, ["subject"], ["at", "id"], lambda k: None, step, "subject long, at timestamp_ntz, id long, asked boolean")

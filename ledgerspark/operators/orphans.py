@@ -34,37 +34,42 @@ def find_orphans(
     A row whose key is null as a whole is never an orphan. kind is `missing` if no target has the key or, with both
     times given, `late` if the earliest known time of the target is after the time of the row (both not null).
     The targets may repeat keys, they are reduced to one row per key before the join. Hot keys of refs are joined
-    apart (skew_join). All columns of refs are kept; repeated rows of refs give repeated rows. Empty tables are fine:
-    without targets every reference is missing.
+    apart (skew_join). All columns of refs are kept, whatever their names, but for one called kind, which the result's
+    replaces; repeated rows of refs give repeated rows. Empty tables are fine: without targets every reference is
+    missing.
     """
     on = list(on)
     if not 1 <= len(on) <= MAX_COLUMNS:
         raise ValueError(f"1 to {MAX_COLUMNS} key columns are possible")
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
-    out = []
-    keep = refs.columns
-    if "kind" in keep or {"_there", "_since"} & set(keep):
-        raise ValueError("refs has a column kind, _there or _since")
+    # columns go by number inside, so that no name can clash
+    keep = [c for c in refs.columns if c != "kind" or c in on or c == ref_time]
+    at = {c: f"c{i}" for i, c in enumerate(keep)}
+    rows = refs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    keys = [at[c] for c in on]
+    timed = ref_time is not None and target_time is not None
+    since = F.col(f"`{target_time}`") if timed else F.lit(None).cast("timestamp_ntz")
+    known = targets.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], since.alias("since"))
     every = (1 << len(on)) - 1
+    out = []
     for mask in range(1, every + 1):
-        have = [c for i, c in enumerate(on) if mask >> i & 1]
-        mine = refs.filter(all_of([F.col(c).isNotNull() if c in have else F.col(c).isNull() for c in on]))
+        have = [k for i, k in enumerate(keys) if mask >> i & 1]
         if mask != every and match == "simple":
             continue
+        mine = rows.filter(all_of([F.col(k).isNotNull() if k in have else F.col(k).isNull() for k in keys]))
         if mask != every and match == "full":
             out.append(mine.withColumn("kind", F.lit("malformed")))
             continue
-        timed = ref_time is not None and target_time is not None
-        since = F.min(target_time) if timed else F.min(F.lit(None).cast("timestamp"))
-        known = targets.filter(all_of([F.col(c).isNotNull() for c in have])).groupBy(*have)
-        known = known.agg(since.alias("_since")).withColumn("_there", F.lit(True))
-        kind = F.when(F.col("_there").isNull(), "missing")
+        there = known.filter(all_of([F.col(k).isNotNull() for k in have])).groupBy(*have)
+        there = there.agg(F.min("since").alias("since")).withColumn("there", F.lit(True))
+        kind = F.when(F.col("there").isNull(), "missing")
         if timed:
-            kind = kind.when(F.col("_since") > F.col(ref_time), "late")
-        held = skew_join(mine, known, have, "left").withColumn("kind", kind)
-        out.append(held.filter(F.col("kind").isNotNull()).select(*keep, "kind"))
-    return union_all(out)
+            kind = kind.when(F.col("since") > F.col(at[ref_time]), "late")
+        held = skew_join(mine, there, have, "left").withColumn("kind", kind)
+        out.append(held.filter(F.col("kind").isNotNull()).select(*at.values(), "kind"))
+    named = [F.col(n).alias(c) for c, n in at.items() if c != "kind"]
+    return union_all(out).select(*named, "kind")
 
 
 def orphan_report(orphans: DataFrame, by: Sequence[str], record: Sequence[str], time: str) -> DataFrame:

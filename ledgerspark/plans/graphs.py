@@ -151,7 +151,7 @@ def g10_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "g11_peel",
-    """with recursive t(oid, cur, hops) as (select p_partkey, p_partkey, 0 from part union all select oid, cur - 1, hops + 1 from t where cur % 12 <> 0 and hops < 10 and cur > 1)
+    """with recursive t(oid, cur, hops) as (select p_partkey, p_partkey, 0 from part union all select oid, cur - 1, hops + 1 from t where cur % 12 <> 0 and hops < 10 and cur > 0)
     select oid, case when m % 12 = 0 then m end as target, case when m % 12 = 0 then 'commit' end as kind from (select oid, min(cur) m from t group by 1)""",
 )
 def g11(spark: SparkSession, d: str) -> DataFrame:

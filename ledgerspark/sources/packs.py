@@ -76,7 +76,7 @@ def unpack(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def repack(objects: DataFrame, by: str) -> DataFrame:
-    """(by, pack, idx) as bytes: the objects (kind, data) of each group in one pack, in order of ids, each once. A pack is
+    """(by, content, idx, n), a pack and its index as bytes: the objects (kind, data) of each group in one pack, in order of ids, each once. A pack is
     one file, so its objects meet in one task: groups are packs by size, not repositories."""
     kind = objects.schema[by].dataType.simpleString()
 
@@ -86,9 +86,9 @@ def repack(objects: DataFrame, by: str) -> DataFrame:
         each = {codec.oid_of(k, bytes(d)): (k, bytes(d)) for k, d in zip(pdf["kind"], pdf["data"], strict=True)}
         pack = codec.write_pack([each[o] for o in sorted(each)])
         idx = codec.write_index(codec.read_pack(pack), pack[-20:])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "pack": [pack], "idx": [idx], "n": [len(each)]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "content": [pack], "idx": [idx], "n": [len(each)]})
 
-    return objects.select(by, "kind", "data").groupBy(by).applyInPandas(run, f"{by} {kind}, pack binary, idx binary, n long")
+    return objects.select(by, "kind", "data").groupBy(by).applyInPandas(run, f"{by} {kind}, content binary, idx binary, n long")
 
 
 def point_read(objects: DataFrame, oids: DataFrame) -> DataFrame:
