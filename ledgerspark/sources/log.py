@@ -111,6 +111,7 @@ class LogWriter:
         the accepted ones before it left."""
         none = lambda v: v if v and v != "0" * 40 else None
         for _ in range(self.tries):
+            self.sync()
             refs, verdict, ups = dict(self.refs), [], []
             for tx in txs:
                 staged = dict(refs)
@@ -130,7 +131,6 @@ class LogWriter:
             if self.store.put_if_absent(self.repo, entry_name(self.seq + 1), gzip_if_smaller(json.dumps(entry).encode())):
                 self.seq, self.refs = self.seq + 1, refs
                 return verdict
-            self.sync()
         raise RuntimeError("the log moves on too fast")
 
     def snapshot(self, ts: int = 0) -> None:
