@@ -10,6 +10,7 @@ from ledgerspark.functions import scalars as X
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators import relational as O
 from ledgerspark.plans.registry import Registry, table
+from ledgerspark.shared import union_all
 
 R = Registry()
 K = clean_key_sql
@@ -49,6 +50,11 @@ def jobs_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "deliveries").groupBy("id").agg(F.max(clean_key("webhook_id")).alias("webhook_id"), F.max(clean_key("repo_id")).alias("repo_id"), *plain)
 
 
+def _side_by_side(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Numbers (what, n) of one row each as the columns of one row."""
+    return union_all(parts).agg(*[F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in names])
+
+
 # --- look-ups, filters, pages ---
 
 
@@ -346,10 +352,12 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("a2_usage", f"select (select count(*) from {_REPOS}) repos, (select coalesce(sum(size_bytes), 0)::bigint from {_PACKS}) pack_bytes, (select coalesce(sum(n_chars), 0)::bigint from documents) large_bytes")
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    # three aggregates of one row each, side by side
-    n = repos_of(spark, d).agg(F.count(F.lit(1)).alias("repos"))
-    b = packs_of(spark, d).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("pack_bytes"))
-    return n.crossJoin(b).crossJoin(table(spark, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("large_bytes")))
+    parts = [
+        repos_of(spark, d).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("repos")),
+        packs_of(spark, d).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("n")).withColumn("what", F.lit("pack_bytes")),
+        table(spark, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("n")).withColumn("what", F.lit("large_bytes")),
+    ]
+    return _side_by_side(parts, ["repos", "pack_bytes", "large_bytes"])
 
 
 @R.add("a3_is_borrowed", f"select count(*) > 0 as borrowed from {_PACKS} where blob_repo = 'monorepo-trunk'")
@@ -411,10 +419,12 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return O.first_by(docs, ["oid"], "doc_id")
 
 
-@R.add("a12_tips", f"select repo_id, string_agg(name || '=' || coalesce(target, ''), ' ' order by name) tips from {_REFS} group by 1")
+@R.add("a12_tips", f"select repo_id, substr(sha1(name), 1, 2) as part, string_agg(name || '=' || coalesce(target, ''), ' ' order by name) tips from {_REFS} group by 1, 2")
 def a12(spark: SparkSession, d: str) -> DataFrame:
+    """Tips as maps, each repo's in up to 256 parts by name hash, so that no row holds all refs of a large repo."""
     tips = F.array_sort(F.collect_list(F.struct("name", F.coalesce("target", F.lit("")).alias("t"))))
-    return refs_of(spark, d).groupBy("repo_id").agg(F.array_join(F.transform(tips, lambda e: F.concat(e["name"], F.lit("="), e["t"])), " ").alias("tips"))
+    parts = refs_of(spark, d).groupBy("repo_id", F.substring(F.sha1(F.col("name").cast("binary")), 1, 2).alias("part"))
+    return parts.agg(F.array_join(F.transform(tips, lambda e: F.concat(e["name"], F.lit("="), e["t"])), " ").alias("tips"))
 
 
 @R.add("a14_report", f"select count(*) packs, sum(size_bytes)::bigint bytes, count(*) filter (where source = 'gc') gc, count(distinct repo_id) repos, min(created_at) oldest from {_PACKS}")
@@ -439,7 +449,8 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
 @R.add("u5_set_equality", f"select (select count(*) from (select * from {_REFS} except all select * from {_MIRROR})) only_left, (select count(*) from (select * from {_MIRROR} except all select * from {_REFS})) only_right")
 def u5(spark: SparkSession, d: str) -> DataFrame:
     a, b = refs_of(spark, d), refs_of(spark, d, "refs_mirror")
-    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right")))
+    parts = [x.exceptAll(y).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(w)) for x, y, w in ((a, b, "only_left"), (b, a, "only_right"))]
+    return _side_by_side(parts, ["only_left", "only_right"])
 
 
 # --- changes of tables ---
@@ -485,8 +496,6 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
     tables = {"deliveries": (jobs_of(spark, d), "repo_id"), "packs": (packs_of(spark, d), "repo_id"), "refs": (refs_of(spark, d), "repo_id"), "repos": (repos_of(spark, d), "id"), "webhooks": (hooks_of(spark, d), "repo_id")}
     left = O.cascade(tables, ["monorepo-trunk"])
     parts = [df.groupBy(F.lit(n).alias("tab"), F.col(tables[n][1]).alias("repo_id")).agg(F.count(F.lit(1)).alias("n")) for n, df in left.items()]
-    from ledgerspark.shared import union_all
-
     return union_all(parts)
 
 

@@ -64,19 +64,18 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "f15_scope_check",
     """with g as (select n_name subject, case n_nationkey % 4 when 0 then ['git:read'] when 1 then ['git:write'] when 2 then ['org:read', 'repo:write'] else []::varchar[] end scopes,
-      case when n_nationkey % 3 = 0 then r_name end only_repo from nation join region on n_regionkey = r_regionkey),
-    a as (select * from (values ('git:read'), ('git:write'), ('org:read')) t(scope) cross join (select r_name repo from region))
-    select subject, scope, repo, (only_repo is null or only_repo = repo) and (list_contains(scopes, scope) or (scope = 'git:read' and list_contains(scopes, 'git:write'))) as ok from g cross join a""",
+      case when n_nationkey % 3 = 0 then r_name end only_repo, unnest([r_name, n_name, '']) repo from nation join region on n_regionkey = r_regionkey),
+    a as (select *, unnest(['git:read', 'git:write', 'org:read']) scope from g)
+    select subject, scope, repo, (only_repo is null or only_repo = repo) and (list_contains(scopes, scope) or (scope = 'git:read' and list_contains(scopes, 'git:write'))) as ok from a""",
 )
 def f15(spark: SparkSession, d: str) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     k = F.col("n_nationkey") % 4
     some = F.when(k == 0, F.array(F.lit("git:read"))).when(k == 1, F.array(F.lit("git:write"))).when(k == 2, F.array(F.lit("org:read"), F.lit("repo:write"))).otherwise(F.array().cast("array<string>"))
-    grants = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("subject"), some.alias("scopes"), F.when(F.col("n_nationkey") % 3 == 0, F.col("r_name")).alias("only_repo"))
-    asked = region.select(F.col("r_name").alias("repo"), F.explode(F.array(*[F.lit(s) for s in ("git:read", "git:write", "org:read")])).alias("scope"))
-    # every grant is asked for every scope and region: a grid of fixed size by its question
-    both = grants.crossJoin(F.broadcast(asked))
-    return both.select("subject", "scope", "repo", P.scope_allows("scopes", "only_repo", "scope", "repo").alias("ok"))
+    both = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    grants = both.select(F.col("n_name").alias("subject"), some.alias("scopes"), F.when(F.col("n_nationkey") % 3 == 0, F.col("r_name")).alias("only_repo"), F.explode(F.array("r_name", "n_name", F.lit(""))).alias("repo"))
+    asked = grants.withColumn("scope", F.explode(F.array(*[F.lit(s) for s in ("git:read", "git:write", "org:read")])))
+    return asked.select("subject", "scope", "repo", P.scope_allows("scopes", "only_repo", "scope", "repo").alias("ok"))
 
 
 @R.add("f16_not_modified", "select name, target, coalesce(target = lag_target, false) as same from (select name, target, max(target) over (partition by name) as lag_target from refs)")

@@ -183,7 +183,7 @@ def test_store_and_log(spark, tmp_path):
     entries, snaps = log.read_entries(spark, root), log.read_snapshots(spark, root)
     assert rows(entries, "repo", "seq") == [("r", 1), ("r", 2), ("r", 3)]
     assert rows(log.current_refs(entries)) == rows(log.current_refs(entries, snaps)) == [("r", "m", "3")]
-    after = spark.createDataFrame([("r", 1)], "repo string, after long")
+    after = spark.createDataFrame([("r", 1)], "repo string, seq long")
     assert rows(log.replay_events(entries, after), "seq", "pos", "complete") == [(2, 0, True), (2, 1, True), (3, 0, True)]
     assert rows(log.replay_events(entries.filter("seq <> 2"), after), "seq", "complete") == [(3, False)]
     assert rows(log.prunable(entries.withColumn("packs", F.lit(None).cast(entries.schema["packs"].dataType)), snaps, spark.createDataFrame([], "repo string, name string"))) == [("r", 1), ("r", 2)]
