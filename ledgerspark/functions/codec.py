@@ -490,3 +490,33 @@ def edges_col(kind, data):  # noqa: ANN001, ANN201
 
 def frames_col(c):  # noqa: ANN001, ANN201
     return _udf(lambda b: [f.decode("utf-8", "replace") for f in frames(bytes(b))], "array<string>")(c)
+
+
+def commit_col(c):  # noqa: ANN001, ANN201
+    kind = "struct<tree:string,parents:array<string>,author:string,email:string,ts:bigint,committer_ts:bigint,message:string>"
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series) -> pd.DataFrame:
+        names = ["tree", "parents", "author", "email", "ts", "committer_ts", "message"]
+        rows = []
+        for x in a:
+            try:
+                rows.append(parse_commit(bytes(x)) if x is not None else dict.fromkeys(names))
+            except ValueError:
+                rows.append(dict.fromkeys(names))
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"ts": "Int64", "committer_ts": "Int64"})
+
+    return run(c)
+
+
+def push_col(c):  # noqa: ANN001, ANN201
+    def cmds(b: bytes) -> list[dict]:
+        return [{"old": o, "new": n, "ref": r} for o, n, r in parse_push(bytes(b))[0]]
+
+    return _udf(cmds, "array<struct<old:string,new:string,ref:string>>")(c)
+
+
+def capability_col(secret: str, repo, name, expires):  # noqa: ANN001, ANN201
+    """Link signatures; expires is a constant number of seconds."""
+    return _udf(lambda r, n: capability(secret.encode(), r, n, expires), "string")(repo, name)

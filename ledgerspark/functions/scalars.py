@@ -133,7 +133,7 @@ def tag_target(text: Column | str) -> Column:
 
 def log_record(text: Column | str) -> Column:
     """array<struct> of records parted by 0x1e with seven fields parted by 0x00; other records are skipped."""
-    fields = F.filter(F.transform(F.split(_c(text), "\x1e"), lambda r: F.split(F.ltrim(r), "\x00")), lambda f: F.size(f) == 7)
+    fields = F.filter(F.transform(F.split(_c(text), "\x1e"), lambda r: F.split(F.regexp_replace(r, r"^[\r\n]+", ""), "\x00")), lambda f: F.size(f) == 7)
     names = ["sha", "tree", "parents", "author", "email", "ts", "message"]
     return F.transform(fields, lambda f: F.struct(*[f[i].alias(n) for i, n in enumerate(names)]))
 

@@ -187,3 +187,18 @@ def build_trees(files: DataFrame, by: Sequence[str]) -> DataFrame:
     if not made:
         return rows.select(*by, "path", "oid").limit(0)
     return union_all(made)
+
+
+def merge_decision(asked: DataFrame) -> DataFrame:
+    """asked with an action for merging head into base, from booleans head_in_base, base_in_head (one is an ancestor of the
+    other), may_forward, forward_only and conflict: nothing to do, move the base, refuse, conflict or a merge commit.
+    Null booleans count as false."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(False))
+    action = (
+        F.when(c("head_in_base"), "up_to_date")
+        .when(c("base_in_head") & c("may_forward"), "fast_forward")
+        .when(~c("base_in_head") & c("forward_only"), "refused")
+        .when(c("conflict"), "conflict")
+        .otherwise("merge_commit")
+    )
+    return asked.withColumn("action", action)

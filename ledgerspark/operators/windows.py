@@ -45,20 +45,47 @@ def keep_last_fulls(chain: DataFrame, by: Sequence[str], token: str, full: Colum
     return marked.join(cut, list(by), "left").filter(F.col("_cut").isNull() | (F.col(token) >= F.col("_cut"))).drop("_cut", "_full")
 
 
-def increasing(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+#: Rows of a key in a stretch of an ordered computation, if its numbers are dense.
+STRETCH = 65_536
+
+
+def increasing(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, stretch: int = STRETCH) -> DataFrame:
     """Strictly increasing tokens: each is the value, or one more than the token before it if that is greater. With i
-    the place, token - i is the running maximum of value - i."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    i = df.withColumn("_i", F.row_number().over(w))
-    return i.withColumn(name, F.max(F.col(value) - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")).drop("_i")
-
-
-def estimate(events: DataFrame, by: Sequence[str], order: Sequence[str], observed: str, nudge: Column) -> DataFrame:
-    """Running estimate: the last observed number, and one for each nudge since; null before any observation."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    island = events.withColumn("_g", F.count(observed).over(w))
-    v = Window.partitionBy(*by, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("estimate", F.first(observed).over(v) + F.sum(F.when(nudge & F.col(observed).isNull(), 1).otherwise(0)).over(v)).drop("_g")
+    the place, token - i is the running maximum of value - i. order is a bigint, unique per key. Keys are computed in
+    stretches of the order, whose sizes and maxima are carried on over one row per stretch, so that a busy key is many
+    tasks. Rows with a null order come first, in one stretch; a null value counts as the smallest."""
+    b = df.withColumn("_b", F.coalesce(F.floor(F.col(order) / stretch), F.lit(-(2**62))))
+    whole, before = Window.partitionBy(*by).orderBy("_b"), (Window.unboundedPreceding, -1)
+    sizes = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(whole.rowsBetween(*before)), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*by, "_b").orderBy(order)
+    at = b.join(sizes, [*by, "_b"]).withColumn("_i", F.row_number().over(inner) + F.col("_off"))
+    at = at.withColumn("_v", F.coalesce(F.col(value), F.lit(-(2**62))) - F.col("_i"))
+    tops = at.groupBy(*by, "_b").agg(F.max("_v").alias("_m"))
+    tops = tops.select(*by, "_b", F.max("_m").over(whole.rowsBetween(*before)).alias("_before"))
+    both = at.join(tops, [*by, "_b"])
+    running = F.max("_v").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(name, F.greatest(running, F.col("_before")) + F.col("_i")).drop("_b", "_off", "_i", "_v", "_before")
+
+
+def estimate(events: DataFrame, by: Sequence[str], order: str, observed: str, nudge: Column, stretch: int = STRETCH) -> DataFrame:
+    """Running estimate: the last observed number, and one for each nudge since; null before any observation. order is a
+    bigint, unique per key; computed in stretches like increasing()."""
+    b = events.withColumns({"_b": F.coalesce(F.floor(F.col(order) / stretch), F.lit(-(2**62))), "_x": F.when(nudge & F.col(observed).isNull(), 1).otherwise(0)})
+    w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_g", F.count(observed).over(w))
+    v = Window.partitionBy(*by, "_b", "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumns({"_seen": F.first(observed).over(v), "_since": F.sum("_x").over(v)})
+    # what a stretch hands on: its last observation and the nudges since, or all its nudges
+    last = local.groupBy(*by, "_b").agg(F.max(F.struct("_g", "_since", "_seen")).alias("_l"))
+    last = last.select(*by, "_b", F.col("_l._seen").alias("_o"), F.col("_l._since").alias("_k"))
+    whole = Window.partitionBy(*by).orderBy("_b")
+    last = last.withColumn("_h", F.count("_o").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy(*by, "_h").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("_e", F.first("_o").over(island) + F.sum("_k").over(island))
+    last = last.select(*by, "_b", F.lag("_e").over(whole).alias("_in"))
+    both = local.join(last, [*by, "_b"])
+    return both.withColumn("estimate", F.when(F.col("_g") > 0, F.col("_seen") + F.col("_since")).otherwise(F.col("_in") + F.col("_since"))).drop("_b", "_x", "_g", "_seen", "_since", "_in")
 
 
 def ordered_sum(df: DataFrame, order: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:

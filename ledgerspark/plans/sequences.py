@@ -68,7 +68,7 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
 )
 def w6(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "wal_entry").filter("ts IS NOT NULL AND seq IS NOT NULL").groupBy(clean_key("repo_id").alias("repo"), "seq").agg(F.max("ts").alias("ts"))
-    return windows.increasing(e, ["repo"], ["seq"], "ts", "token").drop("ts")
+    return windows.increasing(e, ["repo"], "seq", "ts", "token").drop("ts")
 
 
 _IDLE = '(select repo_id, max(created_at) as "at", sum(size_bytes)::bigint bytes from packs where created_at is not null group by 1)'
@@ -124,7 +124,7 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
 )
 def w13(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "view", F.col("value")).alias("obs"), (F.col("event_type") == "click").alias("nudge"))
-    return windows.estimate(e, ["user_id"], ["event_id"], "obs", F.col("nudge")).select("user_id", "event_id", F.round("estimate", 6).alias("estimate"))
+    return windows.estimate(e, ["user_id"], "event_id", "obs", F.col("nudge")).select("user_id", "event_id", F.round("estimate", 6).alias("estimate"))
 
 
 @R.add(

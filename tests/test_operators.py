@@ -73,6 +73,24 @@ def test_running_sums_and_eviction(spark):
     assert rows(windows.evict(disk, ["at"], "n", 80, 100), "r") == []
 
 
+def test_stretches(spark):
+    rng = random.Random(8)
+    data = [(k, i, rng.randrange(40), rng.random() < 0.1) for k in "ab" for i in range(120) if rng.random() < 0.8]
+    df = spark.createDataFrame(data, "k string, i long, v long, o boolean").withColumn("obs", F.when(F.col("o"), F.col("v")))
+    tokens, guesses = {}, {}
+    for k in "ab":
+        last, guess = None, None
+        for _, i, v, o in sorted(r for r in data if r[0] == k):
+            last = v if last is None else max(v, last + 1)
+            guess = v if o else guess + (v % 2) if guess is not None else None
+            tokens[k, i], guesses[k, i] = last, guess
+    for width in (7, 10_000):
+        got = windows.increasing(df, ["k"], "i", "v", "t", stretch=width)
+        assert {(r.k, r.i): r.t for r in got.collect()} == tokens
+        got = windows.estimate(df, ["k"], "i", "obs", F.col("v") % 2 == 1, stretch=width)
+        assert {(r.k, r.i): r.estimate for r in got.collect()} == guesses
+
+
 def test_folds(spark):
     txs = [("r", 1, "a", [("x", None, "1")]), ("r", 2, "b", [("x", None, "2")]), ("r", 3, "c", [("y", None, "1"), ("x", "1", None)]), ("r", 4, "d", [("x", None, "3"), ("y", "9", "2")]), ("s", 1, "e", [])]
     df = spark.createDataFrame(txs, "repo string, arrival long, tx_id string, updates array<struct<name:string,old:string,new:string>>")
