@@ -66,7 +66,7 @@ _STEPS = [
     (regex.compile(r"\p{Cf}"), JOIN),
 ]
 #: What each step needs to have anything to do.
-_NEEDS = ["<!--", "<", "<", "<", "{{", "{{", "|", "|", "[[", "[[", "://", "__", "&", "''", "\n", None]
+_NEEDS = ["<!--", "<", "<", "<", "{{", "{{", "|", "=", "[[", "[[", "://", "__", "&", "''", "\n", None]
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}\0'’‘ʼ‐‑-]+")
 _DROP = str.maketrans("", "", "\0'’‘ʼ‐‑-")
 
@@ -81,13 +81,19 @@ def plain(text: str) -> str:
     return text
 
 
+def spell(raw: str) -> str:
+    """A word as it is compared: without apostrophes, hyphens and joins, in lower case; may be empty."""
+    w = raw.translate(_DROP)
+    return w.lower() if w.isascii() else unicodedata.normalize("NFKC", w).casefold()
+
+
+def raw_words(text: str) -> list[str]:
+    """The words of words(), before spell() and with empty ones."""
+    return _WORD.findall(plain(text))
+
+
 def words(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end) of every word: letters, digits and marks in lower case; apostrophes and hyphens within a word
     are dropped, all other punctuation parts words."""
-    out = []
-    for m in _WORD.finditer(plain(text)):
-        w = m[0].translate(_DROP)
-        if w:
-            w = w.lower() if w.isascii() else unicodedata.normalize("NFKC", w).casefold()
-            out.append((w, m.start(), m.end()))
-    return out
+    found = ((spell(m[0]), m.start(), m.end()) for m in _WORD.finditer(plain(text)))
+    return [w for w in found if w[0]]
