@@ -26,6 +26,8 @@ from ledgerspark.llm.markup import JOIN, plain
 #: much more than a clean sentence one with offence weighs at most.
 BITS, ROUNDS, FOLDS, STEPS = 18, 3, 3, 60
 RAISE = 6.0
+#: Log odds, by a model that hasn't seen it, below which a suspected sentence is taken for a wrong rating.
+DOUBT = -1.5
 #: Documents with ratings that are used for fitting, at most, and sentences of them without offence.
 MAX_RATED, MAX_CLEAN = 8_000, 20_000
 #: Words of a stretch that is scored as one; longer sentences go in overlapping stretches.
@@ -291,7 +293,7 @@ def fit_chain(rated: Sequence[tuple[str | None, int]], max_clean: int = MAX_CLEA
         for own in own_of:
             if own:
                 top = max(own, key=lambda j: score[j])
-                if r < 2 or score[top] > 0:
+                if r < 2 or score[top] > DOUBT:
                     y[top] = 1
                 if r:
                     y[[j for j in own if score[j] > 2.0]] = 1
@@ -301,8 +303,8 @@ def fit_chain(rated: Sequence[tuple[str | None, int]], max_clean: int = MAX_CLEA
             got, inter = x.fit(no, y, w * (fold != f))
             score[fold == f] = (x.times(got) + inter[-1])[fold == f]
     # what no other sentence makes look bad is more likely a wrong rating
-    if (y * (score > 0)).any():
-        y = y * (score > 0)
+    if (y * (score > DOUBT)).any():
+        y = y * (score > DOUBT)
     kinds = np.array([kind_of(stretches[i]) if y[j] else "" for j, i in enumerate(use)])
     words, links, held = np.zeros((1 << BITS, len(KINDS))), [], np.zeros((n, len(KINDS)))
     for j, kind in enumerate(KINDS):
