@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ledgerspark.operators import folds, maintain
 from ledgerspark.operators.replay import assemble
 from ledgerspark.plans.metadata import NOW, now, packs_of
 from ledgerspark.plans.registry import Registry, table
+from ledgerspark.shared import shared_dir
 from ledgerspark.sources import blobs, packs
 from ledgerspark.sources import log as logs
 from ledgerspark.streaming import events as ev
@@ -138,17 +139,11 @@ def s14(spark: SparkSession, d: str) -> DataFrame:
 def s10(spark: SparkSession, d: str) -> DataFrame:
     """The log written as files, one per entry and repo, some compressed, and read back into refs."""
     entries = assemble(table(spark, d, "wal_entry"))
-    root = tempfile.mkdtemp(prefix="ledgerspark-log-")
+    root = f"{shared_dir(spark)}/ledgerspark-log-{uuid.uuid4().hex}"
     up = F.transform("updates", lambda u: F.struct(u["name"].alias("Name"), u["old"].alias("Old"), u["new"].alias("New")))
     body = entries.select("repo", "seq", codec.gzip_col(F.encode(F.to_json(F.struct("seq", up.alias("updates"))), "UTF-8")).alias("data"))
-
-    def write(rows) -> None:  # noqa: ANN001
-        store = blobs.LocalStore(root)
-        for r in rows:
-            store.put_if_absent(r["repo"], logs.entry_name(r["seq"]), bytes(r["data"]))
-
-    body.foreachPartition(write)
-    return logs.current_refs(logs.read_entries(spark, "file://" + root))
+    n = logs.write_entries(body, root)
+    return logs.current_refs(logs.read_written(spark, root, n))
 
 
 @R.add("x8_signatures")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,3 +118,20 @@ class LocalStore:
     def delete(self, repo: str, name: str) -> None:
         with contextlib.suppress(FileNotFoundError):
             os.unlink(self.path(repo, name))
+
+
+class SharedStore:
+    """Writing to a root URI that all executors reach: a mounted folder (file:), or what pyarrow has a file system for.
+    A repeated write replaces the file, so that a retried task does no harm."""
+
+    def __init__(self, root: str) -> None:
+        from pyarrow import fs
+
+        # Hadoop writes local paths as file:/x too, which pyarrow takes for a relative one
+        self.fs, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root) if ":" in root else f"file://{root}")
+
+    def put(self, repo: str, name: str, data: bytes) -> None:
+        to = f"{self.root}/{repo}/{name}"
+        self.fs.create_dir(os.path.dirname(to), recursive=True)
+        with self.fs.open_output_stream(to, compression=None) as f:
+            f.write(data)

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.codec import gunzip_col, gzip_if_smaller
 from ledgerspark.operators.relational import sequence_gaps
 from ledgerspark.operators.windows import latest
-from ledgerspark.sources.blobs import LocalStore
+from ledgerspark.shared import cut, discard
+from ledgerspark.sources.blobs import LocalStore, SharedStore
 
 ENTRY = "seq long, updates array<struct<Name:string,Old:string,New:string>>, events array<struct<Name:string,Payload:string>>, packs array<struct<name:string,data:string,idx:string>>, ts long"
 SNAPSHOT = "seq long, default_branch string, public boolean, refs array<struct<name:string,target:string>>, ts long"
@@ -33,6 +34,31 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
     return named.select(F.regexp_extract("path", _REPO, 1).alias("repo"), F.col("seq").cast("long").alias("seq"), body.alias("e")).select("repo", "seq", "e.updates", "e.events", "e.packs", "e.ts")
 
 
+def write_entries(bodies: DataFrame, root: str) -> int:
+    """Writes bodies(repo, seq, data), one row per entry, as files below root, which all executors must share; gives
+    their number."""
+    seen = Observation()
+
+    def write(rows) -> None:  # noqa: ANN001
+        store = SharedStore(root)
+        for r in rows:
+            store.put(r["repo"], entry_name(r["seq"]), bytes(r["data"]))
+
+    bodies = cut(bodies.observe(seen, F.count(F.lit(1)).alias("n")))
+    bodies.foreachPartition(write)
+    discard(bodies)
+    return seen.get["n"]
+
+
+def read_written(spark: SparkSession, root: str, n: int) -> DataFrame:
+    """read_entries() in one pass over the files, and an error unless n entries come out with their updates."""
+    seen = Observation()
+    out = cut(read_entries(spark, root).observe(seen, F.count("updates").alias("n")))
+    if seen.get["n"] != n:
+        raise RuntimeError(f"{n} entries written to {root}, {seen.get['n']} read back")
+    return out
+
+
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "snapshot.json").load(root)
     body = F.from_json(F.decode(gunzip_col("content"), "UTF-8"), SNAPSHOT)
