@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.shared import cut, discard, union_all
@@ -154,3 +154,83 @@ def paths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", sep:
     else:
         raise ValueError(f"deeper than {max_depth}")
     return links.select("id").join(union_all(parts), "id", "left")
+
+
+def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", buckets: int = 4096) -> DataFrame:
+    """The chains of parents and the descendants of all nodes, of any depth, in one row per node: id, parent, root,
+    state, steps, pos, size, loop; chains() and descendants() read them.
+
+    root and state are resolve()'s. Every loop is cut above its root, which leaves trees; steps is the way to the root,
+    pos the place in a walk of the tree in which each node is followed by its size - 1 descendants. On a loop, loop is
+    its length, elsewhere 0. So `a` is on the chain of `v` if they share the root and a.loop > 0 or
+    a.pos <= v.pos < a.pos + a.size.
+
+    Sizes and places are summed over paths that double a round. Children of one node are added up in buckets, so that
+    a node with very many is many tasks."""
+    links = nodes.select(F.col(id_col).alias("i"), F.col(parent_col).alias("p")).filter("i IS NOT NULL").groupBy("i").agg(F.min("p").alias("p"))
+    of = resolve(links, "i", "p")
+    mine = links.join(of, "i").select(pack_id(F.col("i")).alias("key"), pack_id(F.col("p")).alias("parent"), pack_id(F.col("root")).alias("root"), "state", "depth")
+    mine = cut(mine.withColumn("up", F.when((F.col("key") != F.col("root")), F.col("parent"))))
+    sized = _sizes(mine.select("key", "up", F.lit(1).cast("long").alias("size")))
+    placed = mine.select("key", "up").join(sized.select("key", "size"), "key")
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    under = placed.filter("up IS NOT NULL")
+    before = (Window.unboundedPreceding, -1)
+    carry = under.groupBy("up", "_b").agg(F.sum("size").alias("_s"))
+    carry = carry.select("up", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("up").orderBy("_b").rowsBetween(*before)), F.lit(0)).alias("_c"))
+    own = F.coalesce(F.sum("size").over(Window.partitionBy("up", "_b").orderBy("key").rowsBetween(*before)), F.lit(0))
+    start = under.withColumn("_o", own).join(carry, ["up", "_b"]).select("key", F.col("up").alias("anc"), (F.col("_o") + F.col("_c") + 1).alias("pos"), F.lit(1).cast("long").alias("steps"))
+    tops = placed.filter("up IS NULL").select("key", F.lit(None).cast("binary").alias("anc"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("steps"))
+    at = _places(start.unionByName(tops))
+    loops = mine.filter("state = 'cycle'")
+    n = loops.join(loops.groupBy("root").agg(F.count(F.lit(1)).alias("loop")), "root").select("key", "loop")
+    out = mine.join(at, "key").join(sized.select("key", "size"), "key").join(n, "key", "left")
+    return out.select(unpack_id(F.col("key")).alias(id_col), unpack_id(F.col("parent")).alias(parent_col), unpack_id(F.col("root")).alias("root"), "state", "steps", "pos", "size", F.coalesce("loop", F.lit(0)).alias("loop"))
+
+
+def _sizes(at: DataFrame) -> DataFrame:
+    """Of at(key, up, size = 1): size, the nodes of each node's tree. Round k adds those 2^k to 2^(k+1) - 1 steps below,
+    which are counted at the nodes 2^k steps below."""
+    at, seen = _observed(at, n=_n(F.col("up").isNotNull()))
+    while seen["n"]:
+        more = at.filter("up IS NOT NULL").groupBy(F.col("up").alias("key")).agg(F.sum("size").alias("more"))
+        grown = cut(at.join(more, "key", "left").select("key", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        ahead = at.select(F.col("key").alias("up"), F.col("up").alias("next"))
+        going = grown.filter("up IS NOT NULL").join(ahead, "up").select("key", F.col("next").alias("up"), "size")
+        new, seen = _observed(grown.filter("up IS NULL").unionByName(going), n=_n(F.col("up").isNotNull()))
+        discard(at, grown)
+        at = new
+    return at
+
+
+def _places(at: DataFrame) -> DataFrame:
+    """Of at(key, anc, pos, steps), where pos counts from the parent's: pos and steps from the root."""
+    at, seen = _observed(at, n=_n(F.col("anc").isNotNull()))
+    parts, frontier, n_open = [at.filter("anc IS NULL")], at.filter("anc IS NOT NULL"), seen["n"]
+    while n_open:
+        ahead = union_all([*parts, frontier]).select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("pos").alias("p"), F.col("steps").alias("s"))
+        new, seen = _observed(frontier.join(ahead, "anc").select("key", F.col("next").alias("anc"), (F.col("pos") + F.col("p")).alias("pos"), (F.col("steps") + F.col("s")).alias("steps")), n=_n(F.col("anc").isNotNull()))
+        parts.append(new.filter("anc IS NULL"))
+        frontier, n_open = new.filter("anc IS NOT NULL"), seen["n"]
+    return union_all(parts).select("key", "pos", "steps")
+
+
+def _related(rows: DataFrame, of: DataFrame, id_col: str, up: bool) -> DataFrame:
+    asked = rows.join(of.select(id_col).distinct(), id_col, "left_semi")
+    a, v = (rows, asked) if up else (asked, rows)
+    a = a.select(F.col(id_col).alias("ancestor"), "root", F.col("pos").alias("_p"), "size", F.col("steps").alias("_s"), "loop")
+    both = a.join(v.select(id_col, "root", "pos", "steps"), "root")
+    within = (F.col("pos") >= F.col("_p")) & (F.col("pos") < F.col("_p") + F.col("size"))
+    far = F.when(within, F.col("steps") - F.col("_s")).otherwise(F.col("steps") + F.col("loop") - F.col("_s"))
+    return both.filter(within | (F.col("loop") > 0)).select("ancestor", id_col, far.alias("steps"))
+
+
+def chains(rows: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:
+    """(ancestor, id, steps), from 0 (the node itself), of the nodes in of(id), whose full paths these are by steps; rows
+    is lineage()'s. A chain that runs into a loop goes round it once."""
+    return _related(rows, of, id_col, True)
+
+
+def descendants(rows: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:
+    """(ancestor, id, steps) of all nodes below those in of(id), and of these themselves at 0 steps; rows is lineage()'s."""
+    return _related(rows, of, id_col, False)

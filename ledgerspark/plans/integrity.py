@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators.copies import diff_copies
-from ledgerspark.operators.hierarchy import resolve
+from ledgerspark.operators.hierarchy import lineage, resolve
 from ledgerspark.operators.orphans import find_orphans, orphan_report
 from ledgerspark.operators.replay import replay, watermarks
 from ledgerspark.plans.registry import Registry, table
@@ -74,6 +74,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return resolve(commit_links(table(spark, d, "commits"))).select(F.col("id").alias("sha"), "root", "depth", "state")
 
 
+@R.add("p2_lineage")
+def p2_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The chain of first parents and the descendants of every commit, as intervals (see lineage())."""
+    return lineage(commit_links(table(spark, d, "commits"))).withColumnRenamed("id", "sha")
+
+
 _REFS_SQL = "select {k} repo_id, name, max({t}) target from {table} group by 1, 2"
 
 

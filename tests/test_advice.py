@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from ledgerspark.operators import hierarchy
 from ledgerspark.sources import log
 
 
@@ -36,3 +37,22 @@ def test_lost_log_files_are_noticed(spark, tmp_path):
     os.unlink(glob.glob(f"{tmp_path}/log/a/refs/wal/*.json")[0])
     with pytest.raises(RuntimeError):
         log.read_written(spark, f"file://{tmp_path}/log", n)
+
+
+def test_lineage_of_deep_commits(spark, tmp_path):
+    parent = {f"d{i}": f"d{i - 1}" if i else "absent" for i in range(150)}  # beyond the depth that paths() takes
+    parent |= {f"w{i}": "d3" for i in range(40)} | {f"v{i}": f"w{i}" for i in range(9)}
+    parent |= {"l0": "l1", "l1": "l2", "l2": "l3", "l3": "l0", "m0": "l2", "m1": "m0", "n0": "l0", "self": "self", "o": "self", "alone": None}
+    save(spark, tmp_path, "commits", [(k, [p] if p else []) for k, p in parent.items()], "sha string, parents array<string>")
+    want = set()
+    for v in parent:
+        a, steps, seen = v, 0, set()
+        while a in parent and a not in seen:
+            seen.add(a)
+            want.add((a, v, steps))
+            a, steps = parent[a], steps + 1
+    rows = run(spark, "p2_lineage", tmp_path).cache()
+    assert rows.count() == len(parent)
+    assert {tuple(r) for r in hierarchy.chains(rows, rows, "sha").collect()} == want
+    some = rows.filter("sha IN ('d3', 'l2', 'm0', 'w1')")
+    assert {tuple(r) for r in hierarchy.descendants(rows, some, "sha").collect()} == {x for x in want if x[0] in ("d3", "l2", "m0", "w1")}
