@@ -226,6 +226,14 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
     return w.select("repo_id", F.concat(F.lpad(F.col("seq").cast("string"), 10, "0"), F.lit(".bundle")).alias("name"), F.row_number().over(Window.partitionBy("repo_id").orderBy("seq")).alias("pos"))
 
 
+@R.add("b9_advertised_whole", f"select id as repo_id, lpad(seq::varchar, 10, '0') || '.bundle' as name, row_number() over (partition by id order by seq) as pos from (select distinct {K('repo_id')} id, seq from wal_entry where seq is not null)")
+def b9_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All links of every chain, numbered in stretches, so that a busy repo is many tasks."""
+    w = table(spark, d, "wal_entry").filter("seq IS NOT NULL").select(F.coalesce(clean_key("repo_id"), F.lit("")).alias("id"), "seq").distinct()
+    at = windows.increasing(w.withColumn("least", F.lit(1).cast("long")), ["id"], "seq", "least", "pos")
+    return at.select(F.nullif("id", F.lit("")).alias("repo_id"), F.concat(F.lpad(F.col("seq").cast("string"), 10, "0"), F.lit(".bundle")).alias("name"), "pos")
+
+
 @R.add("b14_remote_packs", f"""with p as (select {K('repo_id')} repo_id, name, max(size_bytes) b from packs group by 1, 2), t as (select repo_id, sum(b) s from p group by 1)
     select p.repo_id, p.name from p join t using (repo_id) where t.s > 200000 and p.b > 10000""")
 def b14(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,10 @@ def test_lineage_of_deep_commits(spark, tmp_path):
     assert {tuple(r) for r in hierarchy.chains(rows, rows, "sha").collect()} == want
     some = rows.filter("sha IN ('d3', 'l2', 'm0', 'w1')")
     assert {tuple(r) for r in hierarchy.descendants(rows, some, "sha").collect()} == {x for x in want if x[0] in ("d3", "l2", "m0", "w1")}
+
+
+def test_advertised_list_is_whole(spark, tmp_path):
+    seqs = [*range(1, 41), 70_000, 70_001]
+    save(spark, tmp_path, "wal_entry", [(r, q, None, None, None) for r in ("a", "A ", "b", None) for q in seqs], WAL)
+    got = {(r.repo_id, r.name, r.pos) for r in run(spark, "b9_advertised_whole", tmp_path).collect()}
+    assert got == {(r, f"{q:010d}.bundle", i) for r in ("a", "b", None) for i, q in enumerate(seqs, 1)}
