@@ -133,6 +133,16 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (size > 2000).alias("too_large"), F.when(size <= 2000, X.b64("text")).alias("content"))
 
 
+#: The limits of the original.
+MAX_INLINE, MAX_EXTERNALS = 10 << 20, 512
+
+
+@R.add("f22_size_gate_whole", f"select doc_id, octet_length(encode(text)) > {MAX_INLINE} as too_large, case when octet_length(encode(text)) <= {MAX_INLINE} then base64(encode(text)) end as content from documents")
+def f22_whole(spark: SparkSession, d: str) -> DataFrame:
+    size = F.octet_length("text")
+    return table(spark, d, "documents").select("doc_id", (size > MAX_INLINE).alias("too_large"), F.when(size <= MAX_INLINE, X.b64("text")).alias("content"))
+
+
 @R.add("o1_keyset_page", f"select id, created_at from {_REPOS} where id > 'kelp' order by id limit 100")
 def o1(spark: SparkSession, d: str) -> DataFrame:
     return O.keyset_page(repos_of(spark, d).select("id", "created_at"), "id", "kelp", 0)[0]
@@ -531,3 +541,10 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
 def m23(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "wal_entry").filter(F.size("updates") <= 3)
     return w.select("repo_id", "seq", F.explode("updates").alias("u")).select("repo_id", "seq", F.col("u.Name").alias("name"), F.col("u.New").alias("new"), F.col("u.Old").alias("old"))
+
+
+@R.add("m23_transitions_whole", f"select repo_id, seq, u.Name as name, u.New as new, u.Old as old from (select repo_id, seq, unnest(updates) u from wal_entry where len(updates) <= {MAX_EXTERNALS})")
+def m23_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The table has no externals; as in m23, updates stand for them."""
+    w = table(spark, d, "wal_entry").filter(F.size("updates") <= MAX_EXTERNALS)
+    return w.select("repo_id", "seq", F.explode("updates").alias("u")).select("repo_id", "seq", F.col("u.Name").alias("name"), F.col("u.New").alias("new"), F.col("u.Old").alias("old"))

@@ -63,3 +63,12 @@ def test_advertised_list_is_whole(spark, tmp_path):
     save(spark, tmp_path, "wal_entry", [(r, q, None, None, None) for r in ("a", "A ", "b", None) for q in seqs], WAL)
     got = {(r.repo_id, r.name, r.pos) for r in run(spark, "b9_advertised_whole", tmp_path).collect()}
     assert got == {(r, f"{q:010d}.bundle", i) for r in ("a", "b", None) for i, q in enumerate(seqs, 1)}
+
+
+def test_limits_are_the_originals(spark, tmp_path):
+    up = lambda n: [(f"u{i}", None, "1") for i in range(n)]
+    save(spark, tmp_path, "wal_entry", [("a", n, up(n), None, None) for n in (0, 4, 512, 513)], WAL)
+    assert {r.seq: r["count"] for r in run(spark, "m23_transitions_whole", tmp_path).groupBy("seq").count().collect()} == {4: 4, 512: 512}
+    spark.createDataFrame([(1, 2001), (2, 10 << 20), (3, (10 << 20) + 1)], "doc_id long, n int").select("doc_id", F.expr("repeat('x', n)").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(spark, "f22_size_gate_whole", tmp_path).select("doc_id", "too_large", F.octet_length("content").alias("n"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, False, 2668), (2, False, 13981016), (3, True, None)]
