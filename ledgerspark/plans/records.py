@@ -73,6 +73,41 @@ def m9(spark: SparkSession, d: str) -> DataFrame:
     return logs.inline_packs(ride.unionByName(ride)).select("repo", "name", F.decode("data", "UTF-8").cast("long").alias("bytes"))
 
 
+#: Entries from one snapshot of a repo to the next, as in the original.
+SNAP_EVERY = 64
+
+
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, seq, packs) of every received copy with inline packs. One copy is enough to hold a pack, even one without
+    updates."""
+    return table(spark, d, "wal_entry").filter("size(packs) > 0").select(clean_key("repo_id").alias("repo"), "seq", "packs")
+
+
+@R.add(
+    "m7_prunable_whole",
+    f"""with e as (select distinct repo, seq from {_CHANGES}), s as (select repo, max(seq) // {SNAP_EVERY} * {SNAP_EVERY} upto from e group by 1),
+    p as (select {K('repo_id')} repo, seq, unnest(packs) p from wal_entry), f as (select distinct {K('repo_id')} repo, name from packs),
+    w as (select p.repo, p.seq from p left join f on f.repo = p.repo and f.name = p.p.name where f.repo is null)
+    select e.repo, e.seq from e join s using (repo) where e.seq <= s.upto and not exists (select 1 from w where w.repo = e.repo and w.seq = e.seq)""",
+)
+def m7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each repo's snapshot is its last one, at a multiple of SNAP_EVERY; flushed are the packs of the packs table."""
+    known = assemble(table(spark, d, "wal_entry")).select("repo", "seq")
+    packs_at = packed(spark, d).groupBy("repo", "seq").agg(F.flatten(F.collect_list("packs")).alias("packs"))
+    last = (F.floor(F.max("seq") / SNAP_EVERY) * SNAP_EVERY).cast("long")
+    snaps = known.groupBy("repo").agg(last.alias("seq"))
+    return logs.prunable(known.join(packs_at, ["repo", "seq"], "left"), snaps, packs_of(spark, d).select(F.col("repo_id").alias("repo"), "name"))
+
+
+@R.add(
+    "m9_inline_packs_whole",
+    f"""select repo, name, seq, hex(from_base64(data)) as data, hex(from_base64(idx)) as idx from (select repo, seq, p.name as name, p.data as data, p.idx as idx,
+    row_number() over (partition by repo, p.name order by seq desc nulls last, p.data desc nulls last, p.idx desc nulls last) rn from (select {K('repo_id')} repo, seq, unnest(packs) p from wal_entry)) where rn = 1""",
+)
+def m9_whole(spark: SparkSession, d: str) -> DataFrame:
+    return logs.inline_packs(packed(spark, d)).select("repo", "name", "seq", F.hex("data").alias("data"), F.hex("idx").alias("idx"))
+
+
 @R.add("u4_snapshot_union_tail", f"select repo, count(*) n from {_LATEST} group by 1")
 def u4(spark: SparkSession, d: str) -> DataFrame:
     return logs.current_refs(entries(spark, d), snapshots(spark, d, 7)).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))

@@ -72,3 +72,14 @@ def test_limits_are_the_originals(spark, tmp_path):
     spark.createDataFrame([(1, 2001), (2, 10 << 20), (3, (10 << 20) + 1)], "doc_id long, n int").select("doc_id", F.expr("repeat('x', n)").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     got = run(spark, "f22_size_gate_whole", tmp_path).select("doc_id", "too_large", F.octet_length("content").alias("n"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, False, 2668), (2, False, 13981016), (3, True, None)]
+
+
+def test_unflushed_packs_hold_entries(spark, tmp_path):
+    up, pack = [("x", None, "1")], lambda n, data="AQ==": [(n, data, None)]
+    wal = [("a", q, up, pack(f"p{q}") if q in (5, 9, 130) else None, None) for q in range(1, 131)]
+    wal += [("a", 7, [], pack("lone"), None), ("b", 63, up, None, None), ("a", 129, up, pack("p5", "Ag=="), None)]
+    save(spark, tmp_path, "wal_entry", wal, WAL)
+    save(spark, tmp_path, "packs", [("A", "p9", 1, "s", None, None)], "repo_id string, name string, size_bytes long, source string, created_at timestamp_ntz, blob_repo string")
+    assert sorted(tuple(r) for r in run(spark, "m7_prunable_whole", tmp_path).collect()) == [("a", q) for q in range(1, 129) if q not in (5, 7)]
+    got = {(r.repo, r.name): (r.seq, r.data) for r in run(spark, "m9_inline_packs_whole", tmp_path).collect()}
+    assert got == {("a", "p5"): (129, "02"), ("a", "p9"): (9, "01"), ("a", "p130"): (130, "01"), ("a", "lone"): (7, "01")}
