@@ -58,3 +58,32 @@ def test_tables(spark):
     assert X.score(docs.limit(0), chain).count() == 0
     nothing = X.fit(docs, labels.limit(0))
     assert not any(r.bad for r in X.score(docs, nothing).collect())
+
+
+def test_whole_texts_are_read():
+    read = X.Reader()
+    said = lambda s: [" ".join(w) for w in read.stretches(s)]
+    for form in ("<ref>{}</ref>", "<!-- {} -->", "{{{{quote|{}}}}}", "{{{{quote|text={}}}}}", "<{}>", "[[Category:{}]]", "<ref name=a>{{{{cite book|title={}}}}}</ref>"):
+        assert "you stupid idiot" in said("Some clean text. " + form.format("you stupid idiot") + "\nMore of it."), form
+    long = "idiot" + "xy" * 200
+    assert said(f"you {long} there") == [f"you {long} there"]
+    assert said("one two three <ref>aside</ref> four five six") == ["one two thre four five six", "aside"]
+
+
+def test_kinds_without_cues_come_from_those_with():
+    rows = [([tuple("go drown yourself in the pond you fool".split())], 1), ([tuple("go jump yourself in the pond".split())], 1)] * 6 + [([tuple("the pond is deep".split())], 0)] * 12
+    chain = X.fit_chain_on(rows)
+    p = chain.probabilities([tuple("go jump yourself in the pond".split())])[0]
+    assert X.kind_of(["go", "jump"]) is None and X.kind_of(["drown", "fol"]) == "threat"
+    assert p[X.KINDS.index("threat")] > max(p[X.KINDS.index("sexual")], p[X.KINDS.index("hate")])
+
+
+def test_bounds_of_the_fit(spark):
+    rows = corpus(120, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    assert X.fit(docs, labels, max_chars=10).threshold == 0.5
+    # sentences beyond max_clean are not fitted on, but judged for the threshold
+    few = X.fit_chain([(t, y) for _, t, y, _ in rows], max_clean=5)
+    read = X.Reader()
+    assert sum((few.worst([list(read.stretches(t))])[0, -1] >= few.threshold) == bool(b) for _, t, _, b in rows) > 100
