@@ -44,3 +44,31 @@ def test_pairs_repeats_and_empty(spark):
     df = spark.createDataFrame([(3, "A Person", "a.person@x.example"), (1, "Person, A", "a.person@x.example"), (1, "Person, A", "a.person@x.example"), (None, "A Person", None)], "sig_id long, author string, email string")
     assert [tuple(r) for r in N.pairs(N.link(df)).collect()] == [(1, 3)]
     assert N.link(df.limit(0)).count() == 0
+
+
+def test_names_of_anybody(spark):
+    sigs = [
+        ("Margaret Brown", "margaret.brown@lantern.example"), ("Peggy Brown", "peggy@lantern.example"), ("BROWN Margaret", None),
+        ("Jonathan Smith", "jonathan.smith@lantern.example"), ("Jonathan Smith", None), ("Jonathon Smith", None), ("Jonathan Smiht", None), ("Jon Smith", None),
+        ("Susan Smith", "susan.smith@lantern.example"), ("Samuel Taylor", "samuel.taylor@harbour.example"), ("Sam Taylor", "sam.taylor@harbour.example"),
+    ]
+    assert groups(spark, sigs) == [[0, 1, 2], [3, 4, 5, 6, 7], [8], [9, 10]]
+
+
+def test_an_address_under_many_spellings_and_a_shared_one(spark):
+    name = "Desmond Okonkwo"
+    typed = ["Desmond Okonkwo", "Desmnd Okonkwo", "Desmond Okonkow", "Dessmond Okonkwo", "Desmond Okomkwo", "Desmond Okonwo", "desmond okonkwo"]
+    mine = [(t, "dez@lantern.example") for t in typed] + [(name, None)]
+    shared = [(n, "desk@lantern.example") for n in ("Ruth Abara", "Colin Fenwick", "Imogen Tate", "Hugo Lindqvist")]
+    got = groups(spark, mine + shared)
+    assert list(range(len(mine))) in got and all([len(mine) + i] in got for i in range(len(shared)))
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(mine + shared)], "sig_id long, author string, email string")
+    scores = {r.form: r.score for r in N.ties(df)[1].collect()}
+    assert scores["e:dez@lantern.example"] > 0.5 > scores["e:desk@lantern.example"] == 0.25
+    assert {len(g) for g in groups(spark, [("Aunt Em", "em@x.example"), ("Uncle Henry", "em@x.example")])} == {1}
+
+
+def test_other_short_forms(spark):
+    df = spark.createDataFrame([(1, "Wilhelmina Dray", "w.dray@x.example"), (2, "Mina Dray", "mina.dray@x.example")], "sig_id long, author string, email string")
+    assert len({r.entity for r in N.link(df).collect()}) == 2
+    assert len({r.entity for r in N.link(df, nicknames={"wilhelmina": ["mina"]}).collect()}) == 1
