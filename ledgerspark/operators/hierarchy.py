@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.shared import cut, discard, union_all
 
+#: Links that one task resolves by itself, some 20 MB of it.
+CORE = 131_072
+
 
 def pack_id(c: Column) -> Column:
     """An id as bytes, without loss: 40 lower-case hex digits become 20 bytes, any other text its UTF-8 after 21 zero
@@ -29,30 +35,158 @@ def _n(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
 
 
-def _to_roots(start: DataFrame, n_open: int) -> tuple[DataFrame, DataFrame | None, int, list[DataFrame]]:
-    """Rounds of frontier joins over start(key, anc, dist, done): in each, the frontier (the rows whose chain hasn't
-    ended) looks up the rows of its ancestors, so that paths double in length. A round that ends no chain leaves
-    just rows whose chain never ends. Gives the ended rows, the others, their number, and the tables to discard."""
-    parts, frontier, made = [start.filter("done")], start.filter("NOT done"), [start]
-    while n_open:
-        step = union_all([*parts, frontier]).select(
-            F.col("key").alias("anc"), F.col("anc").alias("up"), F.col("dist").alias("more"), F.col("done").alias("end")
-        )
-        joined = frontier.select("key", "anc", "dist").join(step, "anc")
-        new, seen = _observed(
-            joined.select("key", F.col("up").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"), F.col("end").alias("done")),
-            n=_n(~F.col("done")),
-        )
-        made.append(new)
-        parts.append(new.filter("done"))
-        frontier = new.filter("NOT done")
-        if seen["n"] == n_open:
-            break
-        n_open = seen["n"]
-    return union_all(parts), frontier if n_open else None, n_open, made
+def _coin(k: int, c: str) -> Column:
+    """A fair coin for each id and round; whoever knows the id knows the coin, without a look-up."""
+    return F.xxhash64(F.lit(k), F.col(c)).bitwiseAND(F.lit(1)) == 1
+
+
+def _goes(k: int) -> Column:
+    """Whether a row of live(key, par, ..) is taken out in round k: its coin shows heads and its parent's tails. So no
+    parent of what goes goes along, nor do its children, which are handed to its parent."""
+    return _coin(k, "key") & ~_coin(k, "par")
+
+
+class _Forest:
+    """Contraction of live(key, par, *sums), the nodes with a parent in the table, to at most `core` of them, and back.
+
+    Each round takes out about a quarter of what is left: an independent set of nodes, whose children are handed to the
+    parent, with the sums along both links added. A loop shrinks to a node that is its own parent, which ends it. What is
+    left is resolved level by level from the tops (parents that aren't live, and loops' last nodes), and so are, round by
+    round, the nodes taken out: a frontier join from what is known to what hangs on it. The rounds grow with the logarithm
+    of the nodes, whatever the depth; all of them together move a few times as many rows as there are nodes."""
+
+    def __init__(self, live: DataFrame, n: int, sums: list[str], core: int, weight: str | None = None) -> None:
+        self.sums, self.weight = sums, weight
+        self.rounds: list[DataFrame] = []
+        self.made: list[DataFrame] = []
+        self.ends: list[DataFrame] = []
+        self.n_ends = 0
+        k = 0
+        while n > core:
+            stay = live.filter(~_goes(k))
+            up = live.filter(_goes(k)).select(F.col("key").alias("par"), F.col("par").alias("_par"), *[F.col(c).alias(f"_{c}") for c in sums])
+            moved = stay.filter(_coin(k, "par")).join(up, "par", "left")
+            moved = moved.select("key", F.coalesce("_par", "par").alias("par"), *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums], *([weight] if weight else []))
+            new = stay.filter(~_coin(k, "par")).unionByName(moved)
+            if weight:
+                taken = live.filter(_goes(k)).groupBy(F.col("par").alias("key")).agg(F.sum(weight).alias("_more"))
+                new = new.join(taken, "key", "left").withColumn(weight, F.col(weight) + F.coalesce("_more", F.lit(0))).drop("_more")
+            new, seen = _observed(new, n=_n(F.col("key") != F.col("par")), ends=_n(F.col("key") == F.col("par")))
+            self.rounds.append(live)
+            self.made.append(new)
+            if seen["ends"]:
+                self.n_ends += seen["ends"]
+                self.ends.append(new.filter("key = par").select("key"))
+            live, n, k = new.filter("key <> par"), seen["n"], k + 1
+        self.live, self.n = live, n
+
+    def settle(self) -> tuple[list[DataFrame], int]:
+        """(key, top, *sums, looped) of all live nodes, in parts, and how many of them are looped: those in and below loops,
+        which no level from the roots reaches."""
+        out, n_looped = [], 0
+        known = self._core()
+        if self.ends:
+            ends = union_all(self.ends).select(F.col("key").alias("top"), F.lit(True).alias("_end"))
+            known = known.join(ends, "top", "left").withColumn("looped", F.col("looped") | F.col("_end").isNotNull()).select(*known.columns)
+        known, seen = _observed(known, n=_n(F.col("looped")))
+        out.append(known)
+        n_looped += seen["n"]
+        if self.ends:
+            out.append(union_all(self.ends).select("key", F.col("key").alias("top"), *[F.lit(0).cast("long").alias(c) for c in self.sums], F.lit(True).alias("looped")))
+            n_looped += self.n_ends
+        for k in reversed(range(len(self.rounds))):
+            over = union_all(out).select(F.col("key").alias("par"), "top", "looped", *[F.col(c).alias(f"_{c}") for c in self.sums])
+            gone = self.rounds[k].filter(_goes(k)).join(over, "par", "left")
+            new, seen = _observed(gone.select("key", F.coalesce("top", "par").alias("top"), *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in self.sums], F.coalesce("looped", F.lit(False)).alias("looped")), n=_n(F.col("looped")))
+            out.append(new)
+            n_looped += seen["n"]
+        return out, n_looped
+
+    def weights(self) -> DataFrame:
+        """(key, size): the weight of every live node and of all below it. There must be no loops."""
+        w = self.weight
+        out = [cut(self._core_weights())]
+        for k in reversed(range(len(self.rounds))):
+            live = self.rounds[k]
+            below = live.filter(~_goes(k) & _coin(k, "par")).select("key", "par").join(union_all(out), "key").groupBy(F.col("par").alias("key")).agg(F.sum("size").alias("_more"))
+            out.append(cut(live.filter(_goes(k)).select("key", w).join(below, "key", "left").select("key", (F.col(w) + F.coalesce("_more", F.lit(0))).alias("size"))))
+        return union_all(out)
+
+    def _core(self) -> DataFrame:
+        sums = self.sums
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = _table(batches, "key", "par", *sums)
+            key, par = t.column("key").to_pylist(), t.column("par").to_pylist()
+            own = [t.column(c).to_pylist() for c in sums]
+            below, level = _children(key, par)
+            top: list[bytes | None] = [None] * len(key)
+            for i in level:
+                top[i] = par[i]
+            while level:
+                ahead = [j for i in level for j in below.get(i, ())]
+                for i in level:
+                    for j in below.get(i, ()):
+                        top[j] = top[i]
+                        for c in own:
+                            c[j] += c[i]
+                level = ahead
+            looped = [x is None for x in top]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array([x or k for x, k in zip(top, key, strict=True)], pa.binary()), *[pa.array(c, pa.int64()) for c in own], pa.array(looped, pa.bool_())], ["key", "top", *sums, "looped"])
+
+        return self.live.select("key", "par", *sums).coalesce(1).mapInArrow(run, f"key binary, top binary, {', '.join(f'{c} long' for c in sums)}, looped boolean")
+
+    def _core_weights(self) -> DataFrame:
+        w = self.weight
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = _table(batches, "key", "par", w)
+            key, size = t.column("key").to_pylist(), t.column(w).to_pylist()
+            below, level = _children(key, t.column("par").to_pylist())
+            levels = []
+            while level:
+                levels.append(level)
+                level = [j for i in level for j in below.get(i, ())]
+            for level in reversed(levels):
+                for i in level:
+                    size[i] += sum(size[j] for j in below.get(i, ()))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int64())], ["key", "size"])
+
+        return self.live.select("key", "par", w).coalesce(1).mapInArrow(run, "key binary, size long")
+
+    def drop(self, *last: DataFrame) -> None:
+        """Delete the tables of the rounds; what settle() and weights() gave stays, but for the ends of loops."""
+        if not self.ends:
+            discard(*self.made)
+        discard(*last)
+
+
+def _table(batches: Iterator[pa.RecordBatch], *columns: str) -> pa.Table:
+    found = list(batches)
+    return pa.Table.from_batches(found) if found else pa.table({c: [] for c in columns})
+
+
+def _children(key: list[bytes], par: list[bytes]) -> tuple[dict[int, list[int]], list[int]]:
+    """Places of the children of each place, and the places whose parent isn't there."""
+    at = {k: i for i, k in enumerate(key)}
+    below: dict[int, list[int]] = {}
+    first = []
+    for i, p in enumerate(par):
+        j = at.get(p)
+        if j is None:
+            first.append(i)
+        else:
+            below.setdefault(j, []).append(i)
+    return below, first
+
+
+def _linked(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(key, anc) of nodes, packed, one row per id."""
+    links = nodes.select(F.col(id_col).alias("i"), F.col(parent_col).alias("p")).filter("i IS NOT NULL")
+    return links.groupBy("i").agg(F.min("p").alias("p")).select(pack_id(F.col("i")).alias("key"), pack_id(F.col("p")).alias("anc"))
 
 
-def resolve(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
+def resolve(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", core: int = CORE) -> DataFrame:
     """Root, depth and state of every node of a table of parent links: columns id, root, depth, state.
 
     * `tree`: the chain of parents ends in a node without a parent in the table; that is the root, depth the steps.
@@ -62,36 +196,68 @@ def resolve(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent") ->
     Repeated ids count once, with the smallest non-null parent; null ids are left out; a node that is its own parent
     is a loop of one. An empty table gives an empty result.
 
-    Frontier joins from the nodes upward: round k joins paths of 2^k steps, so the rounds grow with the logarithm of
-    the depth; nodes that no round ends reveal the loops. Every round is one equi-join with one row per key on the
-    looked-up side; AQE splits a frontier that meets one hot ancestor. Nothing is collected but counts.
+    Frontier joins from the roots, level by level, over a forest that is first contracted, as histories are far deeper than
+    jobs are cheap (see _Forest); nodes that no level reaches reveal the loops. The last `core` links at most are a matter
+    of one task. Every round is an equi-join with one row per key on the looked-up side; AQE splits a frontier that meets
+    one hot parent. Nothing is collected but counts.
     """
-    links = nodes.select(F.col(id_col).alias("i"), F.col(parent_col).alias("p")).filter("i IS NOT NULL")
-    links = links.groupBy("i").agg(F.min("p").alias("p")).select(pack_id(F.col("i")).alias("key"), pack_id(F.col("p")).alias("anc"))
+    links = _linked(nodes, id_col, parent_col)
     there = links.select(F.col("key").alias("anc"), F.lit(True).alias("hit"))
-    start = links.join(there, "anc", "left").select(
-        "key",
-        F.when(F.col("hit"), F.col("anc")).otherwise(F.col("key")).alias("anc"),
-        F.when(F.col("hit"), 1).otherwise(0).cast("long").alias("dist"),
-        F.col("hit").isNull().alias("done"),
-    )
-    start, seen = _observed(start, n=_n(~F.col("done")))
-    ended, looped, n_looped, made = _to_roots(start, seen["n"])
-    out = ended.select("key", F.col("anc").alias("root"), "dist", F.lit("tree").alias("state"))
-    if looped is None:
-        return _named(out, id_col)
-    mine = cut(start.join(looped.select("key"), "key", "left_semi").select("key", "anc", "dist"))
-    loops, made_loops = _loops(mine)
-    onto = mine.join(loops.select("key", F.lit(True).alias("on")), "key", "left")
-    onto, seen = _observed(
-        onto.select("key", F.when(F.col("on"), F.col("key")).otherwise(F.col("anc")).alias("anc"), F.when(F.col("on"), 0).otherwise(1).cast("long").alias("dist"), F.col("on").isNotNull().alias("done")),
-        n=_n(~F.col("done")),
-    )
-    below, _, _, _ = _to_roots(onto, seen["n"])
-    of = loops.select(F.col("key").alias("anc"), "root")
-    low = below.join(of, "anc").select("key", "root", "dist", F.when(F.col("dist") == 0, "cycle").otherwise("below").alias("state"))
-    discard(*made_loops)
-    return _named(out.unionByName(low), id_col)
+    start, seen = _observed(links.join(there, "anc", "left").select("key", F.when(F.col("hit"), F.col("anc")).alias("par"), F.lit(1).cast("long").alias("dist")), n=_n(F.col("par").isNotNull() & (F.col("par") != F.col("key"))), own=_n(F.col("par") == F.col("key")))
+    forest = _Forest(start.filter("par <> key"), seen["n"], ["dist"], core)
+    if seen["own"]:
+        forest.ends.append(start.filter("par = key").select("key"))
+        forest.n_ends += seen["own"]
+    settled, n_looped = forest.settle()
+    roots = start.filter("par IS NULL").select("key", F.col("key").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit("tree").alias("state"))
+    trees = union_all(settled).filter("NOT looped").select("key", F.col("top").alias("root"), "dist", F.lit("tree").alias("state"))
+    out = roots.unionByName(trees)
+    if n_looped:
+        mine = cut(start.join(union_all(settled).filter("looped").select("key"), "key", "left_semi").select("key", F.col("par").alias("anc")))
+        out = out.unionByName(_looped(mine) if n_looped <= core else _looped_far(mine))
+    forest.drop()
+    return _named(out, id_col)
+
+
+def _looped(links: DataFrame) -> DataFrame:
+    """(key, root, dist, state) of links(key, anc) that never leave the table, in one task: walks from each node meet what is
+    known or close a loop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _table(batches, "key", "anc")
+        up = dict(zip(t.column("key").to_pylist(), t.column("anc").to_pylist(), strict=True))
+        known: dict[bytes, tuple[bytes, int, str]] = {}
+        for k in up:
+            way, seen = [], {}
+            while k not in known and k not in seen:
+                seen[k] = len(way)
+                way.append(k)
+                k = up[k]
+            if k not in known:
+                loop = way[seen[k] :]
+                known.update((x, (min(loop), 0, "cycle")) for x in loop)
+                way = way[: seen[k]]
+            root, dist, _ = known[k]
+            for x in reversed(way):
+                dist += 1
+                known[x] = (root, dist, "below")
+        cols = [list(known), *map(list, zip(*known.values(), strict=True))] if known else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.string()), strict=True)], ["key", "root", "dist", "state"])
+
+    return links.coalesce(1).mapInArrow(run, "key binary, root binary, dist long, state string")
+
+
+def _looped_far(mine: DataFrame) -> DataFrame:
+    """The same by joins, for more links than one task should hold: the loops by doubling, then frontier joins onto them."""
+    loops, made = _loops(mine)
+    off, seen = _observed(mine.join(loops.select("key"), "key", "left_anti").select("key", F.col("anc").alias("par"), F.lit(1).cast("long").alias("dist")), n=F.count(F.lit(1)))
+    forest = _Forest(off, seen["n"], ["dist"], CORE)
+    settled, _ = forest.settle()
+    of = loops.select(F.col("key").alias("top"), "root")
+    low = union_all(settled).join(of, "top").select("key", "root", "dist", F.lit("below").alias("state"))
+    discard(*made)
+    forest.drop()
+    return loops.select("key", "root", F.lit(0).cast("long").alias("dist"), F.lit("cycle").alias("state")).unionByName(low)
 
 
 def _loops(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -156,7 +322,7 @@ def paths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", sep:
     return links.select("id").join(union_all(parts), "id", "left")
 
 
-def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", buckets: int = 4096) -> DataFrame:
+def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", buckets: int = 4096, core: int = CORE) -> DataFrame:
     """The chains of parents and the descendants of all nodes, of any depth, in one row per node: id, parent, root,
     state, steps, pos, size, loop; chains() and descendants() read them.
 
@@ -165,13 +331,13 @@ def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", bu
     its length, elsewhere 0. So `a` is on the chain of `v` if they share the root and a.loop > 0 or
     a.pos <= v.pos < a.pos + a.size.
 
-    Sizes and places are summed over paths that double a round. Children of one node are added up in buckets, so that
-    a node with very many is many tasks."""
+    Sizes and places come from contracting the trees and going back (see _Forest). Children of one node are added up in
+    buckets, so that a node with very many is many tasks."""
     links = nodes.select(F.col(id_col).alias("i"), F.col(parent_col).alias("p")).filter("i IS NOT NULL").groupBy("i").agg(F.min("p").alias("p"))
-    of = resolve(links, "i", "p")
+    of = resolve(links, "i", "p", core)
     mine = links.join(of, "i").select(pack_id(F.col("i")).alias("key"), pack_id(F.col("p")).alias("parent"), pack_id(F.col("root")).alias("root"), "state", "depth")
     mine = cut(mine.withColumn("up", F.when((F.col("key") != F.col("root")), F.col("parent"))))
-    sized = _sizes(mine.select("key", "up", F.lit(1).cast("long").alias("size")))
+    sized = _sizes(mine.select("key", "up"), core)
     placed = mine.select("key", "up").join(sized.select("key", "size"), "key")
     placed = placed.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     under = placed.filter("up IS NOT NULL")
@@ -179,50 +345,64 @@ def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", bu
     carry = under.groupBy("up", "_b").agg(F.sum("size").alias("_s"))
     carry = carry.select("up", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("up").orderBy("_b").rowsBetween(*before)), F.lit(0)).alias("_c"))
     own = F.coalesce(F.sum("size").over(Window.partitionBy("up", "_b").orderBy("key").rowsBetween(*before)), F.lit(0))
-    start = under.withColumn("_o", own).join(carry, ["up", "_b"]).select("key", F.col("up").alias("anc"), (F.col("_o") + F.col("_c") + 1).alias("pos"), F.lit(1).cast("long").alias("steps"))
-    tops = placed.filter("up IS NULL").select("key", F.lit(None).cast("binary").alias("anc"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("steps"))
-    at = _places(start.unionByName(tops))
+    start = under.withColumn("_o", own).join(carry, ["up", "_b"]).select("key", F.col("up").alias("par"), (F.col("_o") + F.col("_c") + 1).alias("pos"), F.lit(1).cast("long").alias("steps"))
+    tops = placed.filter("up IS NULL").select("key", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("steps"))
+    at = _places(start, tops, core)
     loops = mine.filter("state = 'cycle'")
     n = loops.join(loops.groupBy("root").agg(F.count(F.lit(1)).alias("loop")), "root").select("key", "loop")
     out = mine.join(at, "key").join(sized.select("key", "size"), "key").join(n, "key", "left")
     return out.select(unpack_id(F.col("key")).alias(id_col), unpack_id(F.col("parent")).alias(parent_col), unpack_id(F.col("root")).alias("root"), "state", "steps", "pos", "size", F.coalesce("loop", F.lit(0)).alias("loop"))
 
 
-def _sizes(at: DataFrame) -> DataFrame:
-    """Of at(key, up, size = 1): size, the nodes of each node's tree. Round k adds those 2^k to 2^(k+1) - 1 steps below,
-    which are counted at the nodes 2^k steps below."""
-    at, seen = _observed(at, n=_n(F.col("up").isNotNull()))
-    while seen["n"]:
-        more = at.filter("up IS NOT NULL").groupBy(F.col("up").alias("key")).agg(F.sum("size").alias("more"))
-        grown = cut(at.join(more, "key", "left").select("key", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        ahead = at.select(F.col("key").alias("up"), F.col("up").alias("next"))
-        going = grown.filter("up IS NOT NULL").join(ahead, "up").select("key", F.col("next").alias("up"), "size")
-        new, seen = _observed(grown.filter("up IS NULL").unionByName(going), n=_n(F.col("up").isNotNull()))
-        discard(at, grown)
-        at = new
-    return at
-
-
-def _places(at: DataFrame) -> DataFrame:
-    """Of at(key, anc, pos, steps), where pos counts from the parent's: pos and steps from the root."""
-    at, seen = _observed(at, n=_n(F.col("anc").isNotNull()))
-    parts, frontier, n_open = [at.filter("anc IS NULL")], at.filter("anc IS NOT NULL"), seen["n"]
-    while n_open:
-        ahead = union_all([*parts, frontier]).select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("pos").alias("p"), F.col("steps").alias("s"))
-        new, seen = _observed(frontier.join(ahead, "anc").select("key", F.col("next").alias("anc"), (F.col("pos") + F.col("p")).alias("pos"), (F.col("steps") + F.col("s")).alias("steps")), n=_n(F.col("anc").isNotNull()))
-        parts.append(new.filter("anc IS NULL"))
-        frontier, n_open = new.filter("anc IS NOT NULL"), seen["n"]
-    return union_all(parts).select("key", "pos", "steps")
+def _sizes(at: DataFrame, core: int) -> DataFrame:
+    """(key, size), the nodes of each node's tree, of a forest at(key, up)."""
+    live, seen = _observed(at.filter("up IS NOT NULL").select("key", F.col("up").alias("par"), F.lit(1).cast("long").alias("w")), n=F.count(F.lit(1)))
+    forest = _Forest(live, seen["n"], [], core, weight="w")
+    below = forest.weights()
+    forest.drop()
+    tops = at.filter("up IS NULL").select("key")
+    under = at.select("key", F.col("up").alias("top")).join(tops.withColumnRenamed("key", "top"), "top", "left_semi").join(below, "key").groupBy(F.col("top").alias("key")).agg(F.sum("size").alias("_more"))
+    return below.unionByName(tops.join(under, "key", "left").select("key", (F.lit(1) + F.coalesce("_more", F.lit(0))).alias("size")))
+
+
+def _places(start: DataFrame, tops: DataFrame, core: int) -> DataFrame:
+    """(key, pos, steps) from the root, of start(key, par, pos, steps), where they count from the parent's, and tops."""
+    live, seen = _observed(start, n=F.count(F.lit(1)))
+    forest = _Forest(live, seen["n"], ["pos", "steps"], core)
+    settled, _ = forest.settle()
+    forest.drop()
+    return union_all(settled).select("key", "pos", "steps").unionByName(tops)
+
+
+def _blocks(lo: Column, hi: Column, levels: Column) -> Column:
+    """The aligned blocks (level, number) of 2^level places that make up [lo, hi)."""
+
+    def at(k: Column) -> Column:
+        # ceiling and floor of the ends in blocks of this level
+        width = F.pow(F.lit(2), k).cast("long")
+        a, b = F.floor((lo + width - 1) / width).cast("long"), F.floor(hi / width).cast("long")
+        some = a < b
+        return F.array(F.when(some & (a % 2 == 1), F.struct(k.alias("level"), a.alias("block"))), F.when(some & (b % 2 == 1), F.struct(k.alias("level"), (b - 1).alias("block"))))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), levels), at)))
 
 
 def _related(rows: DataFrame, of: DataFrame, id_col: str, up: bool) -> DataFrame:
+    """Ancestors' intervals meet descendants' places by equi-joins on aligned blocks: an interval is at most two blocks of
+    each size, a place lies in one block of each, and no pair meets twice or in vain."""
     asked = rows.join(of.select(id_col).distinct(), id_col, "left_semi")
     a, v = (rows, asked) if up else (asked, rows)
     a = a.select(F.col(id_col).alias("ancestor"), "root", F.col("pos").alias("_p"), "size", F.col("steps").alias("_s"), "loop")
-    both = a.join(v.select(id_col, "root", "pos", "steps"), "root")
-    within = (F.col("pos") >= F.col("_p")) & (F.col("pos") < F.col("_p") + F.col("size"))
-    far = F.when(within, F.col("steps") - F.col("_s")).otherwise(F.col("steps") + F.col("loop") - F.col("_s"))
-    return both.filter(within | (F.col("loop") > 0)).select("ancestor", id_col, far.alias("steps"))
+    v = v.select(id_col, "root", "pos", "steps")
+    bits = int(rows.agg(F.coalesce(F.max("size"), F.lit(1)).alias("n")).collect()[0]["n"]).bit_length()
+    spans = a.withColumn("_b", F.explode(_blocks(F.col("_p"), F.col("_p") + F.col("size"), F.ceil(F.log2(F.col("size"))) + 1)))
+    spans = spans.select("ancestor", "root", "_s", F.col("_b.level").alias("_l"), F.col("_b.block").alias("_k"))
+    places = v.withColumn("_l", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits).cast("long")))).withColumn("_k", F.floor(F.col("pos") / F.pow(F.lit(2), F.col("_l"))).cast("long"))
+    within = spans.join(places, ["root", "_l", "_k"]).select("ancestor", id_col, (F.col("steps") - F.col("_s")).alias("steps"))
+    # a node of a loop is above all of its component: what is beyond its interval comes round to it
+    inside = (F.col("pos") >= F.col("_p")) & (F.col("pos") < F.col("_p") + F.col("size"))
+    round_ = a.filter("loop > 0").join(v, "root").filter(~inside).select("ancestor", id_col, (F.col("steps") + F.col("loop") - F.col("_s")).alias("steps"))
+    return within.unionByName(round_)
 
 
 def chains(rows: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:

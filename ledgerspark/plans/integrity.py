@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators.copies import diff_copies
-from ledgerspark.operators.hierarchy import lineage, resolve
+from ledgerspark.operators.hierarchy import chains, lineage, resolve
 from ledgerspark.operators.orphans import find_orphans, orphan_report
 from ledgerspark.operators.replay import replay, watermarks
 from ledgerspark.plans.registry import Registry, table
-from ledgerspark.shared import union_all
+from ledgerspark.shared import cut, union_all
 
 R = Registry()
 K = clean_key_sql
@@ -69,7 +69,24 @@ def commit_links(commits: DataFrame) -> DataFrame:
     return commits.select(clean_key("sha").alias("id"), F.try_element_at(first, F.lit(1)).alias("parent"))
 
 
-@R.add("p2_found")
+#: up: every commit with each one on its chain of parents; c: the commits on loops.
+_UP_SQL = f"""
+with recursive l as (
+  select {K("sha")} id, min(list_filter(list_transform(parents, lambda x: {K("x")}), lambda x: x is not null)[1]) p
+  from commits where {K("sha")} is not null group by 1),
+e as (select l.id, l.p from l semi join (select id as p from l) m on l.p = m.p),
+up(id, anc) as (select id, p from e union select up.id, e.p from up join e on e.id = up.anc),
+c as (select id from up where id = anc),
+o as (select id, min(anc) filter (anc in (select id from c)) loop, count(*) filter (anc not in (select id from c)) off, count(*) n,
+  min(anc) filter (anc not in (select id from e)) top from up group by 1),
+f as (select l.id sha, coalesce(o.loop, o.top, l.id) root,
+  case when c.id is not null then 0 when o.loop is not null then o.off + 1 else coalesce(o.n, 0) end depth,
+  case when c.id is not null then 'cycle' when o.loop is not null then 'below' else 'tree' end state
+  from l left join o on o.id = l.id left join c on c.id = l.id)
+"""
+
+
+@R.add("p2_found", _UP_SQL + "select sha, root, depth::bigint depth, state from f")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return resolve(commit_links(table(spark, d, "commits"))).select(F.col("id").alias("sha"), "root", "depth", "state")
 
@@ -80,6 +97,26 @@ def p2_lineage(spark: SparkSession, d: str) -> DataFrame:
     return lineage(commit_links(table(spark, d, "commits"))).withColumnRenamed("id", "sha")
 
 
+@R.add("p2_below", _UP_SQL + "select f.sha, coalesce(n, 0)::bigint as n_below from f left join (select anc, count(*) n from up where id <> anc group by 1) b on b.anc = f.sha")
+def p2_below(spark: SparkSession, d: str) -> DataFrame:
+    """How many commits lie below each commit: its interval's, and round a loop the whole component."""
+    rows = p2_lineage(spark, d)
+    whole = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(whole, "root").select("sha", (F.when(F.col("loop") > 0, F.col("n")).otherwise(F.col("size")) - 1).alias("n_below"))
+
+
+@R.add(
+    "p2_paths",
+    _UP_SQL
+    + f""", t as (select distinct {K("target")} sha from refs where {K("target")} in (select id from l))
+    select t.sha, t.sha as ancestor from t union select t.sha, up.anc from t join up on up.id = t.sha""",
+)
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full chain of every commit that a ref names: (sha, ancestor), itself included."""
+    tips = table(spark, d, "refs").select(clean_key("target").alias("sha"))
+    return chains(cut(p2_lineage(spark, d)), tips, "sha").select("sha", "ancestor")
+
+
 _REFS_SQL = "select {k} repo_id, name, max({t}) target from {table} group by 1, 2"
 
 

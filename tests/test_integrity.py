@@ -93,6 +93,34 @@ def test_hierarchy_shapes(spark):
     assert hierarchy.resolve(spark.createDataFrame([], "id string, parent string")).count() == 0
 
 
+@pytest.mark.parametrize("core", [0, 7])
+def test_hierarchy_contracted(spark, core):
+    rng = random.Random(core)
+    deep = {f"n{i:03}": f"n{i - 1:03}" if i else None for i in range(60)}
+    loops = {"a": "b", "b": "c", "c": "a", "d": "c", "e": "d", "s": "s", "t": "s", "u": "t", "p": "q", "q": "p"}
+    wild = {f"w{i:03}": rng.choice([None, f"w{rng.randrange(80):03}", f"w{max(0, i - 1):03}", f"w{max(0, i - 1):03}"]) for i in range(80)}
+    parent = deep | loops | wild
+    df = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    assert rows(hierarchy.resolve(df, core=core), "id", "root", "depth", "state") == brute_hierarchy(parent)
+
+
+def test_lineage_contracted(spark):
+    rng = random.Random(6)
+    parent = {f"w{i:03}": rng.choice([None, f"w{rng.randrange(70):03}", f"w{max(0, i - 1):03}", f"w{max(0, i - 1):03}"]) for i in range(70)}
+    df = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    want = set()
+    for start in parent:
+        at, steps, seen = start, 0, set()
+        while at in parent and at not in seen:
+            seen.add(at)
+            want.add((at, start, steps))
+            at, steps = parent[at], steps + 1
+    got = hierarchy.lineage(df, core=5).cache()
+    assert {tuple(r) for r in hierarchy.chains(got, got).collect()} == want
+    some = df.filter("id IN ('w003', 'w010', 'w069')")
+    assert {tuple(r) for r in hierarchy.descendants(got, some).collect()} == {x for x in want if x[0] in ("w003", "w010", "w069")}
+
+
 def test_paths_and_pairs(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "gone"), ("l", "m"), ("m", "l"), ("b", "a")], "id string, parent string")
     got = {r.id: (r.root, r.depth, r.path) for r in hierarchy.paths(df).collect()}
