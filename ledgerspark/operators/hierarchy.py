@@ -86,13 +86,14 @@ class _Forest:
         out, n_looped = [], 0
         known = self._core()
         if self.ends:
-            ends = union_all(self.ends).select(F.col("key").alias("top"), F.lit(True).alias("_end"))
-            known = known.join(ends, "top", "left").withColumn("looped", F.col("looped") | F.col("_end").isNotNull()).select(*known.columns)
+            # the tables that they are few rows of needn't be read again
+            self.ends = [cut(union_all(self.ends))]
+            known = known.join(self.ends[0].select(F.col("key").alias("top"), F.lit(True).alias("_end")), "top", "left").withColumn("looped", F.col("looped") | F.col("_end").isNotNull()).select(*known.columns)
         known, seen = _observed(known, n=_n(F.col("looped")))
         out.append(known)
         n_looped += seen["n"]
         if self.ends:
-            out.append(union_all(self.ends).select("key", F.col("key").alias("top"), *[F.lit(0).cast("long").alias(c) for c in self.sums], F.lit(True).alias("looped")))
+            out.append(self.ends[0].select("key", F.col("key").alias("top"), *[F.lit(0).cast("long").alias(c) for c in self.sums], F.lit(True).alias("looped")))
             n_looped += self.n_ends
         for k in reversed(range(len(self.rounds))):
             over = union_all(out).select(F.col("key").alias("par"), "top", "looped", *[F.col(c).alias(f"_{c}") for c in self.sums])
@@ -154,11 +155,9 @@ class _Forest:
 
         return self.live.select("key", "par", w).coalesce(1).mapInArrow(run, "key binary, size long")
 
-    def drop(self, *last: DataFrame) -> None:
-        """Delete the tables of the rounds; what settle() and weights() gave stays, but for the ends of loops."""
-        if not self.ends:
-            discard(*self.made)
-        discard(*last)
+    def drop(self) -> None:
+        """Delete the tables of the rounds; what settle() and weights() gave stays."""
+        discard(*self.made)
 
 
 def _table(batches: Iterator[pa.RecordBatch], *columns: str) -> pa.Table:
@@ -201,7 +200,7 @@ def resolve(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", co
     of one task. Every round is an equi-join with one row per key on the looked-up side; AQE splits a frontier that meets
     one hot parent. Nothing is collected but counts.
     """
-    links = _linked(nodes, id_col, parent_col)
+    links = cut(_linked(nodes, id_col, parent_col))
     there = links.select(F.col("key").alias("anc"), F.lit(True).alias("hit"))
     start, seen = _observed(links.join(there, "anc", "left").select("key", F.when(F.col("hit"), F.col("anc")).alias("par"), F.lit(1).cast("long").alias("dist")), n=_n(F.col("par").isNotNull() & (F.col("par") != F.col("key"))), own=_n(F.col("par") == F.col("key")))
     forest = _Forest(start.filter("par <> key"), seen["n"], ["dist"], core)
@@ -213,9 +212,13 @@ def resolve(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", co
     trees = union_all(settled).filter("NOT looped").select("key", F.col("top").alias("root"), "dist", F.lit("tree").alias("state"))
     out = roots.unionByName(trees)
     if n_looped:
-        mine = cut(start.join(union_all(settled).filter("looped").select("key"), "key", "left_semi").select("key", F.col("par").alias("anc")))
+        looped = union_all(settled).filter("looped").select("key")
+        # core links at most are small enough for every task, too
+        mine = start.join(F.broadcast(looped) if n_looped <= core else looped, "key", "left_semi")
+        mine = cut(mine.select("key", F.col("par").alias("anc")))
         out = out.unionByName(_looped(mine) if n_looped <= core else _looped_far(mine))
     forest.drop()
+    discard(links)
     return _named(out, id_col)
 
 
