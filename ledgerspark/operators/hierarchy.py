@@ -337,12 +337,13 @@ def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", bu
     Sizes and places come from contracting the trees and going back (see _Forest). Children of one node are added up in
     buckets, so that a node with very many is many tasks."""
     links = nodes.select(F.col(id_col).alias("i"), F.col(parent_col).alias("p")).filter("i IS NOT NULL").groupBy("i").agg(F.min("p").alias("p"))
+    links = cut(links)
     of = resolve(links, "i", "p", core)
     mine = links.join(of, "i").select(pack_id(F.col("i")).alias("key"), pack_id(F.col("p")).alias("parent"), pack_id(F.col("root")).alias("root"), "state", "depth")
     mine = cut(mine.withColumn("up", F.when((F.col("key") != F.col("root")), F.col("parent"))))
     sized = _sizes(mine.select("key", "up"), core)
     placed = mine.select("key", "up").join(sized.select("key", "size"), "key")
-    placed = placed.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    placed = cut(placed.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(buckets))))
     under = placed.filter("up IS NOT NULL")
     before = (Window.unboundedPreceding, -1)
     carry = under.groupBy("up", "_b").agg(F.sum("size").alias("_s"))
@@ -353,7 +354,8 @@ def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", bu
     at = _places(start, tops, core)
     loops = mine.filter("state = 'cycle'")
     n = loops.join(loops.groupBy("root").agg(F.count(F.lit(1)).alias("loop")), "root").select("key", "loop")
-    out = mine.join(at, "key").join(sized.select("key", "size"), "key").join(n, "key", "left")
+    # every node is placed, with its size, once
+    out = mine.join(at.join(placed.select("key", "size"), "key"), "key").join(n, "key", "left")
     return out.select(unpack_id(F.col("key")).alias(id_col), unpack_id(F.col("parent")).alias(parent_col), unpack_id(F.col("root")).alias("root"), "state", "steps", "pos", "size", F.coalesce("loop", F.lit(0)).alias("loop"))
 
 
