@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ SEED = 42
 PARTS = 3
 #: Bits of the check hash that choose a cell of a part: so a part has at most 2^20 cells.
 BITS = 20
+#: Differing keys (8 bytes each) that are sent to every task; more are met by a shuffle.
+KEYS_SENT = 1_000_000
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -40,60 +42,66 @@ def check_hash(key: np.ndarray, val: np.ndarray) -> np.ndarray:
     return hash_long(val, hash_long(key, SEED))
 
 
-def peel(cell: np.ndarray, n: np.ndarray, key: np.ndarray, val: np.ndarray, chk: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Decode one bucket's subtracted table, given its non-empty cells: keys, values and sides (1 or -1) of the
-    elements, and whether the table came out empty, that is, whether they are all."""
+def _places(chk: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cell of each element in each part."""
     size = cells // PARTS
-    table = {"n": np.zeros(cells, np.int64), "key": np.zeros(cells, np.uint64), "val": np.zeros(cells, np.uint64), "chk": np.zeros(cells, np.uint64)}
-    for name, x in (("n", n), ("key", key), ("val", val), ("chk", chk)):
-        table[name][cell] = x
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    look = np.unique(cell)
-    while len(look):
-        one = look[np.abs(table["n"][look]) == 1]
-        one = one[check_hash(table["key"][one], table["val"][one]) == table["chk"][one]]
-        if not len(one):
-            break
-        k, v, c, s = table["key"][one], table["val"][one], table["chk"][one], table["n"][one]
-        _, first = np.unique(c, return_index=True)
-        k, v, c, s = k[first], v[first], c[first], s[first]
-        found.append((k, v, s))
-        touched = []
-        for part in range(PARTS):
-            at = (part * size + ((c >> np.uint64(BITS * part)) & np.uint64(2**BITS - 1)) % np.uint64(size)).astype(np.int64)
-            np.subtract.at(table["n"], at, s)
-            for name, x in (("key", k), ("val", v), ("chk", c)):
-                np.bitwise_xor.at(table[name], at, x)
-            touched.append(at)
-        look = np.unique(np.concatenate(touched))
-    whole = not (table["n"].any() or table["key"].any() or table["val"].any() or table["chk"].any())
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), whole
-    k, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    return k, v, s, whole
-
-
-def _cells(rows: DataFrame, cells: int) -> DataFrame:
-    """The tables of all buckets of rows(bucket, kf, vf, side): one row per non-empty cell. rows lie by bucket
-    already, so neither the cells nor the peeling moves them again."""
-    size = cells // PARTS
-    chk = F.xxhash64("kf", "vf")
-    at = [F.lit(part * size) + F.pmod(F.shiftrightunsigned(F.col("chk"), BITS * part).bitwiseAND(F.lit(2**BITS - 1)), F.lit(size)) for part in range(PARTS)]
-    put = rows.withColumn("chk", chk).select("bucket", "kf", "vf", "chk", "side", F.explode(F.array(*at)).alias("cell"))
-    put = put.groupBy("bucket", "cell").agg(F.sum("side").alias("n"), F.bit_xor("kf").alias("kf"), F.bit_xor("vf").alias("vf"), F.bit_xor("chk").alias("chk"))
-    return put.filter("n <> 0 OR kf <> 0 OR vf <> 0 OR chk <> 0")
-
-
-def _peeled(tables: DataFrame, cells: int) -> DataFrame:
-    """(bucket, kf, whole): the key hashes of each bucket's differing elements; a row with a null kf in any case."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = {c: pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("kf", "vf", "chk")}
-        k, _, _, whole = peel(pdf["cell"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), u["kf"], u["vf"], u["chk"], cells)
-        keys = np.unique(k).view(np.int64)
-        return pd.DataFrame({"bucket": pd.array([pdf["bucket"].iloc[0]] * (len(keys) + 1), "Int64"), "kf": pd.array([None, *keys], "Int64"), "whole": whole})
-
-    return tables.groupBy("bucket").applyInPandas(run, "bucket long, kf long, whole boolean")
+    return [(part * size + ((chk >> np.uint64(BITS * part)) & np.uint64(2**BITS - 1)) % np.uint64(size)).astype(np.int64) for part in range(PARTS)]
+
+
+class Table:
+    """An invertible Bloom lookup table of (key hash, row hash) pairs: counts and sums without carry in each cell."""
+
+    def __init__(self, kf: np.ndarray, vf: np.ndarray, cells: int) -> None:
+        self.cells = cells
+        self.n = np.zeros(cells, np.int64)
+        self.sums = [np.zeros(cells, np.uint64) for _ in range(3)]
+        chk = check_hash(kf, vf)
+        for at in _places(chk, cells):
+            self.n += np.bincount(at, minlength=cells)
+            for to, x in zip(self.sums, (kf, vf, chk), strict=True):
+                np.bitwise_xor.at(to, at, x)
+
+    def minus(self, other: Table) -> Table:
+        """What is in one of them only: counts 1 for this one's, -1 for the other's."""
+        self.n -= other.n
+        for x, y in zip(self.sums, other.sums, strict=True):
+            x ^= y
+        return self
+
+    def peel(self) -> tuple[np.ndarray, bool]:
+        """The key hashes of what is in the table, and whether they are all, that is, whether it came out empty."""
+        key, val, chk = self.sums
+        found = []
+        look = np.flatnonzero(self.n)
+        while len(look):
+            one = look[np.abs(self.n[look]) == 1]
+            one = one[check_hash(key[one], val[one]) == chk[one]]
+            if not len(one):
+                break
+            _, first = np.unique(chk[one], return_index=True)
+            one = one[first]
+            k, v, c, side = key[one], val[one], chk[one], self.n[one]
+            found.append(k)
+            touched = _places(c, self.cells)
+            for at in touched:
+                np.subtract.at(self.n, at, side)
+                for to, x in zip(self.sums, (k, v, c), strict=True):
+                    np.bitwise_xor.at(to, at, x)
+            look = np.unique(np.concatenate(touched))
+        whole = not (self.n.any() or any(x.any() for x in self.sums))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), whole
+
+
+def differing(kf: np.ndarray, vf: np.ndarray, left: np.ndarray, right: np.ndarray, cells: int) -> np.ndarray:
+    """The key hashes of the elements that one side of a bucket has only; with a larger table until one comes out empty, or
+    if none may be larger, all of them."""
+    while True:
+        keys, whole = Table(kf[left], vf[left], cells).minus(Table(kf[right], vf[right], cells)).peel()
+        if whole:
+            return keys
+        if cells >= PARTS << BITS:
+            return np.unique(kf)
+        cells = min(cells * 4, PARTS << BITS)
 
 
 def diff_copies(
@@ -113,62 +121,55 @@ def diff_copies(
     its rows differ within one side, the sets of rows are compared, and changed has the fields whose sets of values
     differ. Columns that are neither in on nor in fields play no part, whatever their names. Empty sides are fine.
 
-    The rows of each side are reduced to distinct ones (pre-aggregated, so that repeats of one key don't pile up) and
-    put into buckets by key hash. Every bucket gets an invertible Bloom lookup table of (key hash, row hash); left
-    counts +1 and right -1, so that adding the cells up subtracts the tables, and what is left are the differences.
-    Peeling gives their key hashes; a bucket with too many differences for its table gets one four times as large,
-    until its table has 1.5 cells a row of the bucket at least. Only rows with these key hashes are then fetched
-    and compared field by field, so that the result doesn't rest on hashes. Two distinct rows of one side with equal
-    hash pairs could hide each other (odds below n^2 / 2^128); pass another salt to rule it out.
+    Only hashes are moved for a start: of each distinct row, repeats reduced before the shuffle, the key's, the row's
+    and which sides have it, placed by the row's hash, so that no key is hot. Each task puts what it gets, in buckets of
+    at most rows_per_bucket, into an invertible Bloom lookup table for each side; the tables are subtracted and
+    peeled, which gives the key hashes of the differences. A bucket with too many of them for its tables gets tables
+    four times as large. Then the copies are read once more, and just rows with these key hashes are fetched and compared
+    field by field, so that the result doesn't rest on hashes. Two distinct rows of one side with equal hash pairs could
+    hide each other (odds below n^2 / 2^128); pass another salt to rule it out.
     """
     on, fields = list(on), list(fields)
-    sides = []
-    for df, side in ((left, 1), (right, -1)):
-        named = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)], *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
-        sides.append(named.distinct().withColumn("side", F.lit(side)))
     ks, fs = [f"k{i}" for i in range(len(on))], [f"f{i}" for i in range(len(fields))]
+    sides = []
+    for df, side in ((left, 1), (right, 2)):
+        named = df.select(*[F.col(c).alias(k) for c, k in zip(on, ks, strict=True)], *[F.col(c).alias(f) for c, f in zip(fields, fs, strict=True)])
+        sides.append(named.withColumns({"side": F.lit(side), "kf": _row_hash(ks, salt)}))
     rows = union_all(sides)
-    rows = rows.withColumn("kf", _row_hash(ks, salt)).withColumn("vf", _row_hash([*ks, *fs], salt + 1))
+    hashed = rows.select("kf", _row_hash([*ks, *fs], salt + 1).alias("vf"), "side").groupBy("vf", "kf").agg(F.bit_or("side").alias("sides"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            kf, vf = (rb.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("kf", "vf"))
+            sides = rb.column("sides").to_numpy(zero_copy_only=False)
+            for i in range(0, rb.num_rows, rows_per_bucket):
+                at = slice(i, i + rows_per_bucket)
+                keys = differing(kf[at], vf[at], sides[at] & 1 > 0, sides[at] & 2 > 0, cells)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["kf"])
+
     seen = Observation()
-    rows = cut(rows.observe(seen, F.count(F.lit(1)).alias("n")))
-    buckets = max(1, -(-seen.get["n"] // rows_per_bucket))
-    hashed = rows.select(F.pmod(F.xxhash64("kf"), F.lit(buckets)).alias("bucket"), "kf", "vf", "side")
-    todo, found = hashed, []
-    while True:
-        made = cut(_peeled(_cells(todo.repartition("bucket"), cells), cells))
-        found.append(made.filter("kf IS NOT NULL AND whole").select("kf"))
-        failed = made.filter("NOT whole").select("bucket").distinct()
-        if failed.isEmpty():
-            break
-        if cells // PARTS >= 2**BITS:
-            # no larger table is possible: the rows of these buckets are all fetched
-            found.append(hashed.join(failed, "bucket", "left_semi").select("kf"))
-            break
-        # a bucket holds rows_per_bucket rows on average, so tables past that size always come out
-        todo = hashed.join(failed, "bucket", "left_semi")
-        cells = min(cells * 4, PARTS * 2**BITS)
-    keys = union_all(found).distinct()
-    fetched = rows.join(keys, "kf", "left_semi")
-    sets = [F.sort_array(F.collect_set(F.when(F.col("side") == s, F.struct(*fs)))).alias(n) for s, n in ((1, "l"), (-1, "r"))]
-    both = fetched.groupBy(*ks).agg(*sets)
-    changed = [
-        F.when(_values("l", f) != _values("r", f), F.lit(name))
-        for f, name in zip(fs, fields, strict=True)
-    ]
-    kind = F.when(F.size("r") == 0, "only_left").when(F.size("l") == 0, "only_right").when(F.col("l") != F.col("r"), "values")
-    out = both.withColumn("diff", kind).filter("diff IS NOT NULL")
-    return out.select(
+    keys = cut(hashed.mapInArrow(run, "kf long").distinct().observe(seen, F.count(F.lit(1)).alias("n")))
+    few = F.broadcast(keys) if seen.get["n"] <= KEYS_SENT else keys
+    fetched = rows.join(few, "kf", "left_semi")
+    # each row once as a whole (part -1) and once for each field with just that; equal ones are reduced before they move
+    parts = [F.struct(F.lit(-1).alias("part"), *[F.col(f) for f in fs])]
+    parts += [F.struct(F.lit(i).alias("part"), *[(F.col(f) if i == j else F.lit(None).cast(rows.schema[f].dataType)).alias(f) for j, f in enumerate(fs)]) for i in range(len(fs))]
+    values = fetched.select(*ks, "side", F.explode(F.array(*parts)).alias("v")).select(*ks, "side", "v.part", *[f"v.{f}" for f in fs])
+    values = values.groupBy(*ks, "part", *fs).agg(F.bit_or("side").alias("sides"))
+    odd = values.groupBy(*ks).agg(
+        F.bit_or("sides").alias("sides"),
+        F.bool_or((F.col("part") == -1) & (F.col("sides") < 3)).alias("odd"),
+        *[F.bool_or((F.col("part") == i) & (F.col("sides") < 3)).alias(f"odd{i}") for i in range(len(fs))],
+    )
+    kind = F.when(F.col("sides") == 1, "only_left").when(F.col("sides") == 2, "only_right").otherwise("values")
+    changed = F.array_compact(F.array(*[F.when(F.col(f"odd{i}"), F.lit(name)) for i, name in enumerate(fields)])) if fields else F.array().cast("array<string>")
+    return odd.filter("odd").select(
         *[F.col(k).alias(c) for k, c in zip(ks, on, strict=True)],
-        "diff",
-        F.when(F.col("diff") == "values", F.array_compact(F.array(*changed))).otherwise(F.array().cast("array<string>")).alias("changed"),
+        kind.alias("diff"),
+        F.when(F.col("sides") == 3, changed).otherwise(F.array().cast("array<string>")).alias("changed"),
     )
 
 
-def _values(rows: str, field: str) -> Column:
-    """The set of values that a field has in an array of rows; structs, because arrays of them sort and compare nulls."""
-    return F.array_sort(F.array_distinct(F.transform(rows, lambda x: F.struct(x[field]))))
-
-
 def _row_hash(cols: Sequence[str], salt: int) -> Column:
     """Nulls are told apart from values and from each other's places."""
     return F.xxhash64(F.lit(salt), *[x for c in cols for x in (F.col(c).isNull(), F.col(c))])

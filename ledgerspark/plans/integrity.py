@@ -135,6 +135,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("repo_id", "name", diff.alias("diff"))
 
 
+_PACKS_SQL = f"""(select distinct {K("repo_id")} repo_id, name, size_bytes, source, created_at, {K("blob_repo")} owner from packs)"""
+
+
+@R.add(
+    "p3_changed",
+    f"""with a as {_PACKS_SQL}, b as (select repo_id, name, case when size_bytes % 11 = 0 then size_bytes + 1 else size_bytes end size_bytes, case when size_bytes % 7 = 0 then null else source end source, created_at, owner from {_PACKS_SQL}),
+    s as (select repo_id, name, 1 as side, {{}} from a union all select repo_id, name, 2, {{}} from b),
+    x as (select repo_id, name, array_agg(distinct {{}}) filter (side = 1) as l, array_agg(distinct {{}}) filter (side = 2) as r from s group by 1, 2)
+    """.format(*["size_bytes, source, created_at, owner"] * 2, *["[cast(size_bytes as varchar), source, cast(created_at as varchar), owner]"] * 2)
+    + """select repo_id, name, array_to_string(list_filter(['size_bytes', 'source', 'created_at', 'owner'], lambda f, i: list_sort(list_distinct(list_transform(l, lambda v: coalesce(v[i], '?')))) <> list_sort(list_distinct(list_transform(r, lambda v: coalesce(v[i], '?'))))), ',') as changed
+    from x where list_sort(list_transform(l, lambda v: coalesce(v[1], '?') || '|' || coalesce(v[2], '?') || '|' || coalesce(v[3], '?') || '|' || coalesce(v[4], '?')))
+      <> list_sort(list_transform(r, lambda v: coalesce(v[1], '?') || '|' || coalesce(v[2], '?') || '|' || coalesce(v[3], '?') || '|' || coalesce(v[4], '?')))""",
+)
+def p3_changed(spark: SparkSession, d: str) -> DataFrame:
+    """The packs table against a copy in which every eleventh size is off by one and every seventh source is lost: which
+    fields of which pack differ."""
+    a = table(spark, d, "packs").select(clean_key("repo_id").alias("repo_id"), "name", "size_bytes", "source", "created_at", clean_key("blob_repo").alias("owner"))
+    size = F.when(F.col("size_bytes") % 11 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
+    b = a.withColumns({"size_bytes": size, "source": F.when(F.col("size_bytes") % 7 == 0, None).otherwise(F.col("source"))})
+    found = diff_copies(a, b, ["repo_id", "name"], ["size_bytes", "source", "created_at", "owner"])
+    return found.select("repo_id", "name", F.array_join("changed", ",").alias("changed"))
+
+
 @R.add("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return replay(table(spark, d, "wal_entry"))

@@ -160,6 +160,30 @@ def test_diff_random(spark, share):
     assert sorted(((r.k, r["diff"], tuple(r.changed)) for r in got.collect()), key=repr) == brute_diff(left, right)
 
 
+def test_tables_grow_until_they_come_out(spark):
+    rng = np.random.default_rng(2)
+    kf, vf = (rng.integers(0, 2**63, 4000, dtype=np.uint64) for _ in range(2))
+    left, right = np.ones(4000, bool), np.arange(4000) % 3 > 0
+    for cells in (3, 48, 3072):
+        assert list(copies.differing(kf, vf, left, right, cells)) == sorted(kf[~right])
+    keys, whole = copies.Table(kf, vf, 3072).minus(copies.Table(kf[right], vf[right], 3072)).peel()
+    assert whole and len(keys) == (~right).sum()
+    assert not copies.Table(kf, vf, 48).peel()[1]
+
+
+def test_diff_of_a_hot_key_and_of_keys_alone(spark):
+    l = spark.range(3000).select(F.lit("hot").alias("k"), (F.col("id") % 1500).alias("v")).unionAll(spark.createDataFrame([("a", 1)], "k string, v long"))
+    r = l.filter("v <> 77")
+    assert [(x.k, x["diff"], x.changed) for x in copies.diff_copies(l, r, ["k"], ["v"]).collect()] == [("hot", "values", ["v"])]
+    assert [(x.k, x.v, x["diff"], x.changed) for x in copies.diff_copies(l, r, ["k", "v"], []).collect()] == [("hot", 77, "only_left", [])]
+    # more keys than are sent along
+    copies.KEYS_SENT, old = 0, copies.KEYS_SENT
+    try:
+        assert copies.diff_copies(l, r, ["k", "v"], []).count() == 1
+    finally:
+        copies.KEYS_SENT = old
+
+
 def test_diff_empty_sides(spark):
     one = spark.createDataFrame([("a", 1)], "k string, v int")
     none = one.limit(0)
