@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ledgerspark.operators.replay import components
+
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 
 
@@ -55,7 +57,16 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], init: Callabl
 def cas_commit(txs: DataFrame) -> DataFrame:
     """(repo, arrival, tx_id, ok) of transactions (repo, arrival, tx_id, updates array<struct<name, old, new>>): each is
     accepted if all its updates find what they expect in the state that the accepted ones before it left; a refused
-    one changes nothing. A null old means that the name must not exist, a null new deletes."""
+    one changes nothing. A null old means that the name must not exist, a null new deletes.
+
+    Transactions meet through the names that they share, so the names that transactions of several tie together make up
+    components, and each of them is a sequence of its own: a busy repo is many tasks."""
+    names = txs.select("repo", "arrival", "tx_id", F.explode("updates").alias("u")).select("repo", "arrival", "tx_id", F.xxhash64("repo", "u.name").alias("node"))
+    own = F.xxhash64("repo", F.coalesce(F.get("updates", F.lit(0))["name"], F.concat(F.lit("tx "), "tx_id")))
+    hub = names.groupBy("repo", "arrival", "tx_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b <> top")
+    ties = names.join(hub, (names["repo"].eqNullSafe(hub["repo"])) & (names["arrival"].eqNullSafe(hub["arrival"])) & (names["tx_id"].eqNullSafe(hub["tx_id"]))).select(F.col("node").alias("a"), "b")
+    roots = components(ties)
+    parts = txs.withColumn("node", own).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("node", "root")
 
     def step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
         staged: dict = {}
@@ -72,12 +83,13 @@ def cas_commit(txs: DataFrame) -> DataFrame:
                 state.pop(n, None)
         return state, [(row["repo"], row["arrival"], row["tx_id"], ok)]
 
-    return fold(txs, ["repo"], ["arrival", "tx_id"], lambda k: {}, step, "repo string, arrival long, tx_id string, ok boolean")
+    return fold(parts, ["repo", "part"], ["arrival", "tx_id"], lambda k: {}, step, "repo string, arrival long, tx_id string, ok boolean")
 
 
 def group_entries(txs: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     """(repo, arrival, entry): transactions (repo, arrival, bytes) packed in order into entries of at most most_bytes; one
-    that is larger by itself has an entry of its own."""
+    that is larger by itself has an entry of its own. Where an entry ends depends on all before it: a repo is one sequence by
+    its nature, streamed through one task with two numbers of state."""
 
     def step(state: tuple[int, int], row: dict) -> tuple[tuple[int, int], list[tuple]]:
         entry, used = state

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.scalars import object_id
-from ledgerspark.operators.relational import tree_order
-from ledgerspark.shared import cut, union_all
+from ledgerspark.operators.hierarchy import CORE, above, intervals, lineage
+from ledgerspark.operators.relational import COMMIT_MOST, tree_order
+from ledgerspark.shared import cut, discard, union_all
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -23,13 +24,17 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
-def closure(edges: DataFrame, seeds: DataFrame, *, stop: DataFrame | None = None, max_hops: int = 10_000, cap: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, *, stop: DataFrame | None = None, within: int | None = None, cap: int | None = None) -> DataFrame:
     """(node, hops) of everything that can be reached from seeds(node), in fewest hops; seeds themselves have 0. Nodes in
-    stop(node) are reached, but not gone beyond. More than cap nodes raise ValueError. Loops in the graph are fine."""
-    links = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    stop(node) are reached, but not gone beyond. within: just what is so many hops away at most; without it the walk ends
+    when nothing new comes, however deep. More than cap nodes raise ValueError. Loops in the graph are fine.
+
+    A round is a hop, so this is for walks of few hops, or where their number is asked for; see reachable()."""
+    links = cut(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
     front, n = _counted(seeds.select(F.col("node")).filter("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
-    parts, total = [front], n
-    for hop in range(1, max_hops + 1):
+    parts, total, hop = [front], n, 0
+    while n and (within is None or hop < within):
+        hop += 1
         go = front if stop is None else front.join(stop.select("node").distinct(), "node", "left_anti")
         new = go.join(links, go.node == links.src).select(F.col("dst").alias("node")).distinct()
         new = new.join(union_all([p.select("node") for p in parts]), "node", "left_anti").withColumn("hops", F.lit(hop))
@@ -40,18 +45,50 @@ def closure(edges: DataFrame, seeds: DataFrame, *, stop: DataFrame | None = None
         total += n
         if cap is not None and total > cap:
             raise ValueError(f"more than {cap} nodes")
+        if len(parts) > 16:
+            # few files to read again and again, however deep the walk
+            old, parts = parts, [cut(union_all(parts))]
+            discard(*old[:-1])
+            parts, front = [parts[0]], parts[0].filter(F.col("hops") == hop)
+            discard(old[-1])
     return union_all(parts)
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, core: int = CORE) -> DataFrame:
+    """(node) for everything that can be reached from seeds(node), seeds included, by edges(src, dst). One edge of each node makes up a forest; all that it leads to from a set of nodes is found at once, by the intervals of lineage(), so that a
+    round is a change to another edge (a merge) rather than a hop. Loops are fine; so are nodes without edges."""
+    kind = seeds.schema["node"].dataType
+    text = [F.col(c).cast("string").alias(c) for c in ("src", "dst")]
+    links = cut(edges.select(*text).filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    first = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent"))
+    ends = links.select(F.col("dst").alias("id")).distinct().join(first.select("id"), "id", "left_anti").withColumn("parent", F.lit(None).cast("string"))
+    forest = cut(lineage(first.unionByName(ends), core=core))
+    other = cut(links.join(first.select(F.col("id").alias("src"), F.col("parent").alias("dst")), ["src", "dst"], "left_anti"))
+    spans = cut(intervals(forest))
+    start = seeds.select(F.col("node").cast("string").alias("node")).filter("node IS NOT NULL").distinct()
+    # seeds that no edge has are reached all the same
+    new, n = _counted(start)
+    parts = [new]
+    while n:
+        up = above(forest, spans, new.select(F.col("node").alias("id"))).select(F.col("id").alias("node"))
+        met, _ = _counted(up.join(union_all(parts), "node", "left_anti"))
+        new_parts = [*parts, met]
+        step = new.unionByName(met).join(other, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        new, n = _counted(step.join(union_all(new_parts), "node", "left_anti"))
+        parts = [*new_parts, new] if n else new_parts
+    discard(links, other, spans)
+    return union_all(parts).select(F.col("node").cast(kind).alias("node"))
+
+
 def reachable_difference(edges: DataFrame, of: DataFrame, without: DataFrame) -> DataFrame:
     """Nodes reachable from `of`, but not from `without`."""
-    return closure(edges, of).select("node").join(closure(edges, without).select("node"), "node", "left_anti")
+    return reachable(edges, of).join(reachable(edges, without), "node", "left_anti")
 
 
 def dangling(edges: DataFrame, objects: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes that the closure of the seeds refers to, though objects(node) doesn't have them: none means that it is
     whole."""
-    return closure(edges, seeds).select("node").join(objects.select("node").distinct(), "node", "left_anti")
+    return reachable(edges, seeds).join(objects.select("node").distinct(), "node", "left_anti")
 
 
 def chains(links: DataFrame, starts: DataFrame, max_hops: int = 16) -> DataFrame:
@@ -84,45 +121,56 @@ def peel(objects: DataFrame, max_hops: int = 10) -> DataFrame:
     return at.select("oid", F.when(ok, F.col("target")).alias("target"), F.when(ok, F.col("kind")).alias("kind"))
 
 
-def history(commits: DataFrame, tip: str, limit: int = 30) -> list[tuple[str, int]]:
-    """(sha, author time) of the first `limit` (at most 100) commits of the walk from tip: always the one with the
-    latest committer time of those whose child is out already, of equal times the one seen first. commits(sha,
-    parents, timestamp, committer_ts), one row per sha. Reads at most limit * 8 + 256 commits, which bounds what comes
-    to the driver; a wider history raises ValueError."""
-    limit = max(1, min(limit, 100))
-    most = limit * 8 + 256
-    known: dict[str, tuple] = {}
-    absent: set[str] = set()
-    asked = {tip}
-    spark = commits.sparkSession
-    while True:
-        asked -= known.keys() | absent
-        if len(known) + len(asked) > most:
-            raise ValueError(f"more than {most} commits to read")
-        if asked:
-            want = F.broadcast(spark.createDataFrame([(a,) for a in sorted(asked)], "sha string"))
-            rows = commits.join(want, "sha", "left_semi").select("sha", "parents", "timestamp", "committer_ts").collect()
-            known |= {r["sha"]: (list(r["parents"] or []), r["timestamp"] or 0, r["committer_ts"] or 0) for r in rows}
-            absent |= asked - known.keys()
-        out, seen, n = [], {tip}, 0
-        heap = [(-known[tip][2], 0, tip)] if tip in known else []
-        asked = set()
+def histories(commits: DataFrame, tips: DataFrame, limit: int = 30) -> DataFrame:
+    """(tip, pos, sha, ts): for each of tips(tip) the first `limit` (1 to 100) commits of the walk from it: always the one
+    with the latest committer time of those whose child is out already, of equal times the one seen first; ts is the author
+    time. commits(sha, parents, timestamp, committer_ts), one row per sha; tips that aren't among them have no rows.
+
+    What is so many steps away at most is gathered for all tips at once, a hop a round, and each tip's walk is then done in
+    one task over that neighbourhood, however wide it is."""
+    limit = max(1, min(limit, COMMIT_MOST))
+    one = commits.select("sha", "parents", F.coalesce("timestamp", F.lit(0)).alias("ts"), F.coalesce("committer_ts", F.lit(0)).alias("at"))
+    links = cut(one.select(F.col("sha").alias("node"), F.explode("parents").alias("up")).filter("up IS NOT NULL").distinct())
+    front, n = _counted(tips.select("tip").filter("tip IS NOT NULL").distinct().join(one.select(F.col("sha").alias("tip")), "tip", "left_semi").withColumn("node", F.col("tip")))
+    parts = [front]
+    for _ in range(limit - 1):
+        if not n:
+            break
+        met = front.join(links, "node").select("tip", F.col("up").alias("node")).distinct()
+        front, n = _counted(met.join(union_all(parts), ["tip", "node"], "left_anti"))
+        parts.append(front)
+    near = union_all(parts).join(one, F.col("node") == F.col("sha")).select("tip", "sha", "parents", "ts", "at")
+
+    def walk(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        tip = pdf["tip"].iloc[0]
+        known = {s: (list(p) if p is not None else [], t, a) for s, p, t, a in zip(pdf["sha"], pdf["parents"], pdf["ts"], pdf["at"], strict=True)}
+        heap, seen, out, n = [(-known[tip][2], 0, tip)], {tip}, [], 0
         while heap and len(out) < limit:
             _, _, sha = heapq.heappop(heap)
-            out.append((sha, known[sha][1]))
+            out.append((tip, len(out), sha, known[sha][1]))
             for p in known[sha][0]:
                 if p in known and p not in seen:
                     seen.add(p)
                     n += 1
                     heapq.heappush(heap, (-known[p][2], n, p))
-                elif p not in known and p not in absent:
-                    asked.add(p)
-            if asked:
-                break
-        if not asked:
-            return out
-        # read on along all known ends at once, a level for each scan
-        asked |= {p for ps, _, _ in known.values() for p in ps if p not in known and p not in absent}
+        return pd.DataFrame(out, columns=["tip", "pos", "sha", "ts"])
+
+    return near.groupBy("tip").applyInPandas(walk, "tip string, pos long, sha string, ts long")
+
+
+def path_history(commits: DataFrame, entries: DataFrame, path: str) -> DataFrame:
+    """(sha, oid) of the commits that changed a path: what it names in their tree (null where there is nothing) is none of
+    what it names in the trees of their parents; a commit without parents changed what it has. commits(sha, tree, parents),
+    one row per sha, parents that aren't among them count as having nothing; entries(tree, name, oid, kind) as in
+    resolve_paths(). All commits at once: the path is resolved once for each different tree."""
+    roots = commits.select(F.col("tree").alias("root")).distinct().withColumn("path", F.lit(path))
+    at = resolve_paths(entries, roots).select(F.col("root").alias("tree"), "oid")
+    here = cut(commits.select("sha", "tree", "parents").join(at, "tree", "left").select("sha", "parents", "oid"))
+    up = here.select(F.col("sha").alias("p"), F.col("oid").alias("was"))
+    pairs = here.select("sha", "oid", F.explode_outer(F.filter("parents", lambda p: p.isNotNull())).alias("p")).join(up, "p", "left")
+    return pairs.groupBy("sha", "oid").agg(F.bool_or(F.col("oid").eqNullSafe(F.col("was"))).alias("same")).filter("NOT same").select("sha", "oid")
 
 
 def tree_diff(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:

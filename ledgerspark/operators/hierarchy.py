@@ -392,21 +392,42 @@ def _blocks(lo: Column, hi: Column, levels: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), levels), at)))
 
 
+def intervals(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """(ancestor, root, steps, level, block): the interval of each node of lineage()'s rows, in aligned blocks."""
+    at = F.explode(_blocks(F.col("pos"), F.col("pos") + F.col("size"), F.ceil(F.log2(F.col("size"))) + 1))
+    return rows.select(F.col(id_col).alias("ancestor"), "root", "steps", at.alias("_b")).select("ancestor", "root", "steps", F.col("_b.level").alias("level"), F.col("_b.block").alias("block"))
+
+
+def _bits(rows: DataFrame) -> int:
+    return int(rows.agg(F.coalesce(F.max("size"), F.lit(1)).alias("n")).collect()[0]["n"]).bit_length()
+
+
+def _in_blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """rows(.., pos) with a row for each block that the place lies in."""
+    level = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits).cast("long")))
+    return rows.withColumn("level", level).withColumn("block", F.floor(F.col("pos") / F.pow(F.lit(2), F.col("level"))).cast("long"))
+
+
+def above(rows: DataFrame, spans: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:
+    """The nodes in of(id) and all on their chains, each once; spans are intervals() of the same rows."""
+    asked = rows.join(of.select(id_col).distinct(), id_col, "left_semi")
+    blocks = _in_blocks(asked.select("root", "pos"), _bits(rows)).select("root", "level", "block").distinct()
+    round_ = rows.filter("loop > 0").join(asked.select("root").distinct(), "root", "left_semi").select(id_col)
+    return spans.join(blocks, ["root", "level", "block"], "left_semi").select(F.col("ancestor").alias(id_col)).unionByName(round_).distinct()
+
+
 def _related(rows: DataFrame, of: DataFrame, id_col: str, up: bool) -> DataFrame:
     """Ancestors' intervals meet descendants' places by equi-joins on aligned blocks: an interval is at most two blocks of
     each size, a place lies in one block of each, and no pair meets twice or in vain."""
     asked = rows.join(of.select(id_col).distinct(), id_col, "left_semi")
     a, v = (rows, asked) if up else (asked, rows)
-    a = a.select(F.col(id_col).alias("ancestor"), "root", F.col("pos").alias("_p"), "size", F.col("steps").alias("_s"), "loop")
-    v = v.select(id_col, "root", "pos", "steps")
-    bits = int(rows.agg(F.coalesce(F.max("size"), F.lit(1)).alias("n")).collect()[0]["n"]).bit_length()
-    spans = a.withColumn("_b", F.explode(_blocks(F.col("_p"), F.col("_p") + F.col("size"), F.ceil(F.log2(F.col("size"))) + 1)))
-    spans = spans.select("ancestor", "root", "_s", F.col("_b.level").alias("_l"), F.col("_b.block").alias("_k"))
-    places = v.withColumn("_l", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits).cast("long")))).withColumn("_k", F.floor(F.col("pos") / F.pow(F.lit(2), F.col("_l"))).cast("long"))
-    within = spans.join(places, ["root", "_l", "_k"]).select("ancestor", id_col, (F.col("steps") - F.col("_s")).alias("steps"))
+    v = v.select(id_col, "root", "pos", F.col("steps").alias("_v"))
+    spans = intervals(a, id_col)
+    within = spans.join(_in_blocks(v, _bits(rows)), ["root", "level", "block"]).select("ancestor", id_col, (F.col("_v") - F.col("steps")).alias("steps"))
     # a node of a loop is above all of its component: what is beyond its interval comes round to it
+    loops = a.filter("loop > 0").select(F.col(id_col).alias("ancestor"), "root", F.col("pos").alias("_p"), "size", F.col("steps").alias("_s"), "loop")
     inside = (F.col("pos") >= F.col("_p")) & (F.col("pos") < F.col("_p") + F.col("size"))
-    round_ = a.filter("loop > 0").join(v, "root").filter(~inside).select("ancestor", id_col, (F.col("steps") + F.col("loop") - F.col("_s")).alias("steps"))
+    round_ = loops.join(v, "root").filter(~inside).select("ancestor", id_col, (F.col("_v") + F.col("loop") - F.col("_s")).alias("steps"))
     return within.unionByName(round_)
 
 

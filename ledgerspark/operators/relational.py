@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.windows import ordered_sum
 from ledgerspark.shared import all_of, skew_join
 
 # Page sizes and limits of the queries.
@@ -170,14 +171,14 @@ def sequence_gaps(seqs: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
-    """Exact order statistics by nearest rank, position min(n-1, int(n*p)) of the sorted values, for every p. Equal
-    values are counted before they move, and a running count per group finds the position, so that the values of
-    a group are never gathered into one row."""
+    """Exact order statistics by nearest rank, position min(n-1, int(n*p)) of the sorted values that aren't null, for every p
+    and group, a null group included. Equal
+    values are counted before they move, and a running count per group, in ranges of the values, finds the position, so
+    that neither one row nor one task has all values of a group."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    both = upto.join(total, list(by))
+    upto = ordered_sum(counts, [value], "_n", "_upto", by)
+    total = counts.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("_n").alias("n"))
+    both = upto.join(total, all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]))
     out = []
     for p in ps:
         rank = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(p))))

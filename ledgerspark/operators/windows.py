@@ -1,7 +1,7 @@
 """Ordered computations that window functions and aggregates can say: folds to a last state, islands, running sums.
 
-Windows are partitioned by the caller's keys. Where the order is over a whole table, ordered_sum() splits it into ranges
-whose sums are added up first, so that no task sees more than a range.
+Where an order is over a whole table or a busy group, ordered_sum() splits it into ranges whose sums are added up first, so
+that no task sees more than a range.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.shared import all_of, cut
+
 
 def latest(changes: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Current state of a log of changes: per key the value of its last change by order, keys whose last value is null
@@ -40,11 +42,16 @@ def since_full(chain: DataFrame, by: Sequence[str], token: str, full: Column) ->
 def keep_last_fulls(chain: DataFrame, by: Sequence[str], token: str, full: Column, keep: int = 2) -> DataFrame:
     """Entries from the keep-th last full one on; chains with fewer fulls stay whole."""
     marked = chain.withColumn("_full", F.coalesce(full, F.lit(False)))
-    fulls = marked.filter("_full").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(token))))
-    cut = fulls.filter(F.col("_r") == keep).select(*by, F.col(token).alias("_cut"))
-    return marked.join(cut, list(by), "left").filter(F.col("_cut").isNull() | (F.col(token) >= F.col("_cut"))).drop("_cut", "_full")
+    fulls = marked.filter("_full").select(*by, token)
+    # the last full one, the last before that, and so on: pre-aggregated maxima rather than a sorted chain
+    last = fulls.groupBy(*by).agg(F.max(token).alias("_cut"))
+    for _ in range(keep - 1):
+        last = fulls.join(last, list(by)).filter(F.col(token) < F.col("_cut")).groupBy(*by).agg(F.max(token).alias("_cut"))
+    return marked.join(last, list(by), "left").filter(F.col("_cut").isNull() | (F.col(token) >= F.col("_cut"))).drop("_cut", "_full")
 
 
+#: Rows of a range of an ordered computation over a whole table.
+RANGE_ROWS = 1 << 20
 #: Rows of a key in a stretch of an ordered computation, if its numbers are dense.
 STRETCH = 65_536
 
@@ -88,21 +95,26 @@ def estimate(events: DataFrame, by: Sequence[str], order: str, observed: str, nu
     return both.withColumn("estimate", F.when(F.col("_g") > 0, F.col("_seen") + F.col("_since")).otherwise(F.col("_in") + F.col("_since"))).drop("_b", "_x", "_g", "_seen", "_since", "_in")
 
 
-def ordered_sum(df: DataFrame, order: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:
-    """Running sum of value over the whole table in this order, the row itself included. The first order column is cut
-    into ranges by its quantiles; the sums of ranges (at most `ranges` + 1 rows) are added up and broadcast, and a
-    window runs within each range. Nulls come first."""
-    first = order[0]
-    kind = df.schema[first].dataType.simpleString()
-    number = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("double")
-    at = df.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).collect()[0]["q"] or []
-    bounds = sorted(set(at))
-    bucket = F.coalesce(sum((F.when(number > b, 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(-1)) if bounds else F.lit(0)
-    placed = df.withColumn("_b", F.when(number.isNull(), -1).otherwise(bucket))
-    before = placed.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_b", "_before")
+def ordered_sum(df: DataFrame, order: Sequence[str], value: str, name: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Running sum of value over the whole table (or each group `by`) in this order, the row itself included. Rows are
+    partitioned by ranges of all of by and order, about range_rows each; the sums of ranges, one row for each range and
+    group, are added up, and a window runs within each range. Nulls come first, in order as in value, where they add 0."""
+    cols = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    n = max(1, -(-df.count() // range_rows))
+    placed = cut(df.repartitionByRange(n, *cols).withColumn("_b", F.spark_partition_id()))
+    before = placed.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    whole = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.withColumn("_before", F.coalesce(F.sum("_s").over(whole), F.lit(0))).drop("_s")
+    same = all_of([F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by])
+    w = Window.partitionBy(*by, "_b").orderBy(*cols[len(by) :]).rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0))).alias("p")
+    both = inner.join(before.alias("q"), (F.col("p._b") == F.col("q._b")) & same)
+    return both.select(*[F.col(f"p.{c}") for c in df.columns if c != name], (F.col(f"p.{name}") + F.col("q._before")).alias(name))
+
+
+def ranks(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Places from 1 in this order, in each group, which should be total; a busy group is many tasks (see ordered_sum)."""
+    return ordered_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name, by).drop("_one")
 
 
 def evict(idle: DataFrame, order: Sequence[str], size: str, used: int, total: int, high: int = 85, low: int = 70) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of the graph operators. The graph with merges is derived from part: the parents of n are n div 2 and n div 3."""
+"""Queries of the graph operators, over the commits with all their parents where a graph with merges is needed."""
 
 from __future__ import annotations
 
@@ -6,50 +6,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.scalars import object_id
-from ledgerspark.keys import clean_key
+from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators import graph as G
 from ledgerspark.operators import hierarchy
 from ledgerspark.plans.metadata import refs_of
 from ledgerspark.plans.registry import Registry, table
 
 R = Registry()
-TIP, BASE = 1999, 700
-_EDGES = "(select p_partkey src, p_partkey // 2 dst from part where p_partkey >= 2 union select p_partkey, p_partkey // 3 from part where p_partkey >= 3)"
+K = clean_key_sql
+#: Every parent of every commit, and the commits that refs name.
+_EDGES = f"(select distinct src, dst from (select {K('sha')} src, unnest(list_transform(parents, lambda x: {K('x')})) dst from commits) where src is not null and dst is not null)"
+_TIPS = f"(select distinct {K('target')} node from {{}} where {K('target')} is not null)"
 
 
-def _reach(seed: int) -> str:
-    return f"(with recursive r(node) as (select {seed}::bigint union select e.dst from r join {_EDGES} e on e.src = r.node) select node from r)"
+def _reach(table_name: str) -> str:
+    return f"(with recursive e as {_EDGES}, r(node) as (select node from {_TIPS.format(table_name)} union select e.dst from r join e on e.src = r.node) select node from r)"
 
 
-def part_edges(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    two = p.filter("p_partkey >= 2").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
-    return two.union(p.filter("p_partkey >= 3").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst"))).distinct()
+def _hops(n: int) -> str:
+    return f"with recursive e as {_EDGES}, r(node, hops) as (select node, 0 from {_TIPS.format('refs')} union select e.dst, hops + 1 from r join e on e.src = r.node where hops < {n}) select node, min(hops)::int as hops from r group by 1"
+
 
+def commit_edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "commits").select(clean_key("sha").alias("src"), F.explode(F.transform("parents", clean_key)).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
-def _seed(spark: SparkSession, *nodes: int) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in nodes], "node long")
+
+def tips(spark: SparkSession, d: str, name: str = "refs") -> DataFrame:
+    return table(spark, d, name).select(clean_key("target").alias("node")).filter("node IS NOT NULL").distinct()
+
+
+def commits_of(spark: SparkSession, d: str) -> DataFrame:
+    """One row per commit: cleaned sha and parents, of repeated rows the largest."""
+    parents = F.filter(F.transform("parents", clean_key), lambda p: p.isNotNull())
+    rows = table(spark, d, "commits").select(clean_key("sha").alias("sha"), F.struct(parents.alias("parents"), "timestamp", "committer_ts", "tree").alias("c")).filter("sha IS NOT NULL")
+    return rows.groupBy("sha").agg(F.max("c").alias("c")).select("sha", "c.*")
 
 
 @R.add("g1_history")
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    """The 30 commits before the tip of the largest repo's main branch."""
-    commits = table(spark, d, "commits").withColumn("sha", clean_key("sha"))
-    parents = F.filter(F.transform("parents", clean_key), lambda p: p.isNotNull())
-    one = commits.groupBy("sha").agg(F.max(F.struct(parents.alias("parents"), "timestamp", "committer_ts")).alias("c")).select("sha", "c.*")
-    tip = refs_of(spark, d).filter("repo_id = 'monorepo-trunk' AND name LIKE 'refs/heads/%main'").agg(F.min_by("target", "name").alias("t")).collect()[0]["t"]
-    rows = G.history(one, tip, 30) if tip else []
-    return spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "pos int, sha string, ts long")
+    """The 30 commits before the tip of every branch."""
+    heads = table(spark, d, "refs").filter(F.col("name").startswith("refs/heads/")).select(clean_key("target").alias("tip"))
+    return G.histories(commits_of(spark, d), heads, 30)
 
 
-@R.add("g3_closure", f"select node from {_reach(TIP)}")
+@R.add(
+    "g2_path_history",
+    f"""with c as (select {K('sha')} sha, max(substr(tree, 1, 1)) oid, max(list_filter(list_transform(parents, lambda x: {K('x')}), lambda x: x is not null)) ps from commits where {K('sha')} is not null group by 1),
+    p as (select sha, unnest(ps) p from c), s as (select distinct p.sha from p join c using (sha) left join c u on u.sha = p.p where u.oid is not distinct from c.oid)
+    select c.sha, c.oid from c where c.sha not in (select sha from s) and not (c.oid is null and coalesce(len(c.ps), 0) = 0)""",
+)
+def g2(spark: SparkSession, d: str) -> DataFrame:
+    """Commits that changed src/main, which each tree is taken to have with the first digit of its id for content."""
+    c = commits_of(spark, d)
+    t = c.select("tree").filter("tree IS NOT NULL").distinct()
+    top = t.select("tree", F.lit("src").alias("name"), F.concat(F.lit("d"), "tree").alias("oid"), F.lit("tree").alias("kind"))
+    low = t.select(F.concat(F.lit("d"), "tree").alias("tree"), F.lit("main").alias("name"), F.substring("tree", 1, 1).alias("oid"), F.lit("blob").alias("kind"))
+    return G.path_history(c, top.unionByName(low), "src/main")
+
+
+@R.add("g3_closure", f"select node from {_reach('refs')}")
 def g3(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(part_edges(spark, d), _seed(spark, TIP)).select("node")
+    """All that the refs reach, through all parents."""
+    return G.reachable(commit_edges(spark, d), tips(spark, d))
 
 
-@R.add("g4_reachable_difference", f"select node from {_reach(TIP)} where node not in (select node from {_reach(BASE)})")
+@R.add("g4_reachable_difference", f"select node from {_reach('refs')} where node not in (select node from {_reach('refs_mirror')})")
 def g4(spark: SparkSession, d: str) -> DataFrame:
-    return G.reachable_difference(part_edges(spark, d), _seed(spark, TIP), _seed(spark, BASE))
+    return G.reachable_difference(commit_edges(spark, d), tips(spark, d), tips(spark, d, "refs_mirror"))
 
 
 @R.add(
@@ -62,17 +85,14 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
     return G.chains(links, p.select(F.col("p_partkey").alias("node")), 16)
 
 
-@R.add(
-    "g6_bounded_hops",
-    f"with recursive r(node, hops) as (select {TIP}::bigint, 0 union select e.dst, hops + 1 from r join {_EDGES} e on e.src = r.node where hops < 4) select node, min(hops)::int as hops from r group by 1",
-)
+@R.add("g6_bounded_hops", _hops(4))
 def g6(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(part_edges(spark, d), _seed(spark, TIP), max_hops=4, cap=768)
+    return G.closure(commit_edges(spark, d), tips(spark, d), within=4)
 
 
-@R.add("g7_shallow", f"select * from (select {TIP}::bigint node, 0 hops union select dst, 1 from {_EDGES} where src = {TIP})")
+@R.add("g7_shallow", _hops(1))
 def g7(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(part_edges(spark, d), _seed(spark, TIP), max_hops=1, cap=20_000)
+    return G.closure(commit_edges(spark, d), tips(spark, d), within=1)
 
 
 _R = "(select lower(trim(repo_id)) repo_id, name path, max(nullif(nullif(lower(trim(target)), ''), repeat('0', 40))) oid from {t} group by 1, 2)"
@@ -161,10 +181,11 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     return G.peel(p.select(F.col("p_partkey").alias("oid"), F.when(commit, "commit").otherwise("tag").alias("kind"), F.when(~commit, F.col("p_partkey") - 1).alias("target")))
 
 
-@R.add("g13_is_ancestor", f"select p_partkey, p_partkey in (select node from {_reach(TIP)}) as ok from part")
+@R.add("g13_is_ancestor", f"select distinct {K('sha')} sha, {K('sha')} in (select node from {_reach('refs')}) as ok from commits where {K('sha')} is not null")
 def g13(spark: SparkSession, d: str) -> DataFrame:
-    up = G.closure(part_edges(spark, d), _seed(spark, TIP)).select(F.col("node").alias("p_partkey"), F.lit(True).alias("hit"))
-    return table(spark, d, "part").select("p_partkey").join(up, "p_partkey", "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("ok"))
+    """Which commits are some ref's target or lie before one."""
+    up = G.reachable(commit_edges(spark, d), tips(spark, d)).select(F.col("node").alias("sha"), F.lit(True).alias("hit"))
+    return table(spark, d, "commits").select(clean_key("sha").alias("sha")).filter("sha IS NOT NULL").distinct().join(up, "sha", "left").select("sha", F.coalesce("hit", F.lit(False)).alias("ok"))
 
 
 _P3 = {"b": "p_size", "o": "case when p_partkey % 5 = 0 then p_size + 1 else p_size end", "t": "case when p_partkey % 7 = 0 then p_size + 2 when p_partkey % 10 = 0 then p_size + 1 else p_size end"}
@@ -203,8 +224,8 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
     return c.select("sha", object_id("commit", body).alias("oid"))
 
 
-@R.add("g19_swap_coverage", f"select node from {_reach(TIP)} where node % 4 = 0 and node <> {TIP}")
+@R.add("g19_swap_coverage", f"select node from {_reach('refs')} where node not in (select {K('sha')} from commits where {K('sha')} is not null)")
 def g19(spark: SparkSession, d: str) -> DataFrame:
-    """What the tip still needs after a swap that loses every fourth object."""
-    kept = table(spark, d, "part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("node"))
-    return G.dangling(part_edges(spark, d), kept, _seed(spark, TIP))
+    """What the refs need that a pack of all commits of the table would lack."""
+    kept = table(spark, d, "commits").select(clean_key("sha").alias("node")).filter("node IS NOT NULL")
+    return G.dangling(commit_edges(spark, d), kept, tips(spark, d))

@@ -9,6 +9,7 @@ from ledgerspark.functions import predicates as P
 from ledgerspark.functions import scalars as X
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators import relational as O
+from ledgerspark.operators.windows import ranks
 from ledgerspark.plans.registry import Registry, table
 from ledgerspark.shared import union_all
 
@@ -127,18 +128,12 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "webhooks").filter(F.coalesce("active", F.lit(False))).orderBy("created_at", "id").select("id", "repo_id", X.join_words("events").alias("events"), "active")
 
 
-@R.add("f22_size_gate", "select doc_id, octet_length(encode(text)) > 2000 as too_large, case when octet_length(encode(text)) <= 2000 then base64(encode(text)) end as content from documents")
-def f22(spark: SparkSession, d: str) -> DataFrame:
-    size = F.octet_length("text")
-    return table(spark, d, "documents").select("doc_id", (size > 2000).alias("too_large"), F.when(size <= 2000, X.b64("text")).alias("content"))
-
-
 #: The limits of the original.
 MAX_INLINE, MAX_EXTERNALS = 10 << 20, 512
 
 
-@R.add("f22_size_gate_whole", f"select doc_id, octet_length(encode(text)) > {MAX_INLINE} as too_large, case when octet_length(encode(text)) <= {MAX_INLINE} then base64(encode(text)) end as content from documents")
-def f22_whole(spark: SparkSession, d: str) -> DataFrame:
+@R.add("f22_size_gate", f"select doc_id, octet_length(encode(text)) > {MAX_INLINE} as too_large, case when octet_length(encode(text)) <= {MAX_INLINE} then base64(encode(text)) end as content from documents")
+def f22(spark: SparkSession, d: str) -> DataFrame:
     size = F.octet_length("text")
     return table(spark, d, "documents").select("doc_id", (size > MAX_INLINE).alias("too_large"), F.when(size <= MAX_INLINE, X.b64("text")).alias("content"))
 
@@ -165,9 +160,7 @@ def o4(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("o5_pack_order", f"select repo_id, name, row_number() over (partition by repo_id order by created_at nulls first, name) as pos from {_PACKS}")
 def o5(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return packs_of(spark, d).select("repo_id", "name", F.row_number().over(Window.partitionBy("repo_id").orderBy("created_at", "name")).alias("pos"))
+    return ranks(packs_of(spark, d).select("repo_id", "name", "created_at"), ["created_at", "name"], "pos", ["repo_id"]).select("repo_id", "name", "pos")
 
 
 @R.add(
@@ -175,12 +168,9 @@ def o5(spark: SparkSession, d: str) -> DataFrame:
     "select p_name, kind, row_number() over (order by encode(case when kind = 'tree' then p_name || '/' else p_name end), p_partkey) as pos from (select p_partkey, p_name, case when p_partkey % 3 = 0 then 'tree' else 'blob' end kind from part)",
 )
 def o6(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     kind = F.when(F.col("p_partkey") % 3 == 0, "tree").otherwise("blob")
-    # a rank over a whole table is one sequence: what is asked for is the total order
-    w = Window.orderBy(O.tree_order(F.col("kind"), F.col("p_name")), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", "p_name", kind.alias("kind")).select("p_name", "kind", F.row_number().over(w).alias("pos"))
+    p = table(spark, d, "part").select("p_partkey", "p_name", kind.alias("kind"))
+    return ranks(p.withColumn("place", O.tree_order(F.col("kind"), F.col("p_name"))), ["place", "p_partkey"], "pos").select("p_name", "kind", "pos")
 
 
 @R.add("o8_numeric_order", "select distinct lpad(seq::varchar, 16, '0') || '.json' as name, seq from wal_entry order by seq")
@@ -537,14 +527,8 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
     return O.without(repos, table(spark, d, "wal_entry").select(clean_key("repo_id").alias("repo_id")), ["repo_id"])
 
 
-@R.add("m23_transitions", "select repo_id, seq, u.Name as name, u.New as new, u.Old as old from (select repo_id, seq, unnest(updates) u from wal_entry where len(updates) <= 3)")
+@R.add("m23_transitions", f"select repo_id, seq, u.Name as name, u.New as new, u.Old as old from (select repo_id, seq, unnest(updates) u from wal_entry where len(updates) <= {MAX_EXTERNALS})")
 def m23(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "wal_entry").filter(F.size("updates") <= 3)
-    return w.select("repo_id", "seq", F.explode("updates").alias("u")).select("repo_id", "seq", F.col("u.Name").alias("name"), F.col("u.New").alias("new"), F.col("u.Old").alias("old"))
-
-
-@R.add("m23_transitions_whole", f"select repo_id, seq, u.Name as name, u.New as new, u.Old as old from (select repo_id, seq, unnest(updates) u from wal_entry where len(updates) <= {MAX_EXTERNALS})")
-def m23_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The table has no externals; as in m23, updates stand for them."""
+    """The table has no externals; updates stand for them."""
     w = table(spark, d, "wal_entry").filter(F.size("updates") <= MAX_EXTERNALS)
     return w.select("repo_id", "seq", F.explode("updates").alias("u")).select("repo_id", "seq", F.col("u.Name").alias("name"), F.col("u.New").alias("new"), F.col("u.Old").alias("old"))

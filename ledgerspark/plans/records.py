@@ -45,13 +45,6 @@ def m6(spark: SparkSession, d: str) -> DataFrame:
     return logs.current_refs(entries(spark, d), snapshots(spark, d, 20))
 
 
-@R.add("m7_prunable", f"select distinct repo, seq from {_CHANGES} c where seq <= 20 and exists (select 1 from {_CHANGES} x where x.repo = c.repo and x.seq <= 20) and repo in (select repo from (select *, row_number() over (partition by repo, name order by seq desc, pos desc) rn from {_CHANGES} where seq <= 20) where rn = 1 and new is not null)")
-def m7(spark: SparkSession, d: str) -> DataFrame:
-    none = "array<struct<name:string,data:string,idx:string>>"
-    e = entries(spark, d).withColumn("packs", F.lit(None).cast(none))
-    return logs.prunable(e, snapshots(spark, d, 20), spark.createDataFrame([], "repo string, name string"))
-
-
 @R.add(
     "m8_replay_after",
     f"""with e as (select * from {_CHANGES} where seq > 10 and seq % 50 <> 0), s as (select distinct repo, seq from e union select distinct repo, 10 from {_CHANGES}),
@@ -65,14 +58,6 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
     return logs.replay_events(e, after).drop("ts")
 
 
-@R.add("m9_inline_packs", f"select {K('repo_id')} repo, name, max(size_bytes) as bytes from (select *, unnest([1, 2]) copy from packs where name is not null) group by 1, 2")
-def m9(spark: SparkSession, d: str) -> DataFrame:
-    """Packs riding in entries, each twice: the one of the last entry counts."""
-    rows = table(spark, d, "packs").filter("name IS NOT NULL").select(clean_key("repo_id").alias("repo"), "name", "size_bytes")
-    ride = rows.select("repo", F.coalesce("size_bytes", F.lit(-1)).alias("seq"), F.array(F.struct("name", X.b64(F.col("size_bytes").cast("string")).alias("data"), F.lit(None).cast("string").alias("idx"))).alias("packs"))
-    return logs.inline_packs(ride.unionByName(ride)).select("repo", "name", F.decode("data", "UTF-8").cast("long").alias("bytes"))
-
-
 #: Entries from one snapshot of a repo to the next, as in the original.
 SNAP_EVERY = 64
 
@@ -84,13 +69,13 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    "m7_prunable_whole",
+    "m7_prunable",
     f"""with e as (select distinct repo, seq from {_CHANGES}), s as (select repo, max(seq) // {SNAP_EVERY} * {SNAP_EVERY} upto from e group by 1),
     p as (select {K('repo_id')} repo, seq, unnest(packs) p from wal_entry), f as (select distinct {K('repo_id')} repo, name from packs),
     w as (select p.repo, p.seq from p left join f on f.repo = p.repo and f.name = p.p.name where f.repo is null)
     select e.repo, e.seq from e join s using (repo) where e.seq <= s.upto and not exists (select 1 from w where w.repo = e.repo and w.seq = e.seq)""",
 )
-def m7_whole(spark: SparkSession, d: str) -> DataFrame:
+def m7(spark: SparkSession, d: str) -> DataFrame:
     """Each repo's snapshot is its last one, at a multiple of SNAP_EVERY; flushed are the packs of the packs table."""
     known = assemble(table(spark, d, "wal_entry")).select("repo", "seq")
     packs_at = packed(spark, d).groupBy("repo", "seq").agg(F.flatten(F.collect_list("packs")).alias("packs"))
@@ -100,11 +85,11 @@ def m7_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    "m9_inline_packs_whole",
+    "m9_inline_packs",
     f"""select repo, name, seq, hex(from_base64(data)) as data, hex(from_base64(idx)) as idx from (select repo, seq, p.name as name, p.data as data, p.idx as idx,
     row_number() over (partition by repo, p.name order by seq desc nulls last, p.data desc nulls last, p.idx desc nulls last) rn from (select {K('repo_id')} repo, seq, unnest(packs) p from wal_entry)) where rn = 1""",
 )
-def m9_whole(spark: SparkSession, d: str) -> DataFrame:
+def m9(spark: SparkSession, d: str) -> DataFrame:
     return logs.inline_packs(packed(spark, d)).select("repo", "name", "seq", F.hex("data").alias("data"), F.hex("idx").alias("idx"))
 
 
@@ -253,16 +238,8 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.when(pending & (n >= 5), "failed").otherwise(F.col("status")).alias("status"), F.when(pending & (n < 5), X.next_wait(n)).alias("wait_s"))
 
 
-@R.add("b9_advertised_list", f"select id as repo_id, lpad(seq::varchar, 10, '0') || '.bundle' as name, row_number() over (partition by id order by seq) as pos from (select distinct {K('repo_id')} id, seq from wal_entry where seq <= 3)")
+@R.add("b9_advertised_list", f"select id as repo_id, lpad(seq::varchar, 10, '0') || '.bundle' as name, row_number() over (partition by id order by seq) as pos from (select distinct {K('repo_id')} id, seq from wal_entry where seq is not null)")
 def b9(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = table(spark, d, "wal_entry").filter("seq <= 3").select(clean_key("repo_id").alias("repo_id"), "seq").distinct()
-    return w.select("repo_id", F.concat(F.lpad(F.col("seq").cast("string"), 10, "0"), F.lit(".bundle")).alias("name"), F.row_number().over(Window.partitionBy("repo_id").orderBy("seq")).alias("pos"))
-
-
-@R.add("b9_advertised_whole", f"select id as repo_id, lpad(seq::varchar, 10, '0') || '.bundle' as name, row_number() over (partition by id order by seq) as pos from (select distinct {K('repo_id')} id, seq from wal_entry where seq is not null)")
-def b9_whole(spark: SparkSession, d: str) -> DataFrame:
     """All links of every chain, numbered in stretches, so that a busy repo is many tasks."""
     w = table(spark, d, "wal_entry").filter("seq IS NOT NULL").select(F.coalesce(clean_key("repo_id"), F.lit("")).alias("id"), "seq").distinct()
     at = windows.increasing(w.withColumn("least", F.lit(1).cast("long")), ["id"], "seq", "least", "pos")

@@ -100,10 +100,8 @@ def w9(spark: SparkSession, d: str) -> DataFrame:
     select repo, arrival, entry from f""",
 )
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     packs = table(spark, d, "packs").filter("name IS NOT NULL").groupBy(clean_key("repo_id").alias("repo"), "name").agg(F.max(F.coalesce("size_bytes", F.lit(0))).alias("bytes"))
-    txs = packs.select("repo", F.row_number().over(Window.partitionBy("repo").orderBy("name")).cast("long").alias("arrival"), "bytes")
+    txs = windows.ranks(packs, ["name"], "arrival", ["repo"]).select("repo", "arrival", "bytes")
     return folds.group_entries(txs, 50_000)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,10 +15,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, from spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    a temporary folder is made, one for each application."""
+    """The folder that every executor sees, from spark.checkpoint.dir. Where that is unset, a session of one process (tests)
+    gets a temporary folder, one for each application; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")

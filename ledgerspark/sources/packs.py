@@ -54,25 +54,30 @@ class PackSource(DataSource):
 
 
 def unpack(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Objects of packs given as rows (path, content), as the binaryFile source reads them from any store. A malformed
-    pack gives no rows, or with strict fails the query."""
+    """Objects of packs given as rows (path, content), as the binaryFile source reads them from any store, with a column
+    error. A damaged pack gives one row, with the reason in error and nulls for the object; with strict it fails the
+    query. Whatever a pack's objects add up to, none is left out; one of over 64 MiB is damage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pack", "oid", "kind", "size", "offset", "crc", "data"]
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["pack", "oid", "kind", "size", "offset", "crc", "data", "error"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for rb in batches:
             for path, content in zip(rb.column("path").to_pylist(), rb.column("content"), strict=True):
                 try:
                     got = codec.read_pack(content.as_py() or b"")
-                except ValueError:
+                except ValueError as e:
                     if strict:
                         raise
+                    yield batch([(path, None, None, None, None, None, None, str(e))])
                     continue
                 for at in range(0, len(got), 1000):
-                    rows = [(path, p.oid, p.kind, len(p.data), p.offset, p.crc, p.data) for p in got[at : at + 1000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield batch([(path, p.oid, p.kind, len(p.data), p.offset, p.crc, p.data, None) for p in got[at : at + 1000]])
 
-    return files.select("path", "content").mapInArrow(run, OBJECTS)
+    return files.select("path", "content").mapInArrow(run, f"{OBJECTS}, error string")
 
 
 def repack(objects: DataFrame, by: str) -> DataFrame:

@@ -61,16 +61,16 @@ def test_lineage_of_deep_commits(spark, tmp_path):
 def test_advertised_list_is_whole(spark, tmp_path):
     seqs = [*range(1, 41), 70_000, 70_001]
     save(spark, tmp_path, "wal_entry", [(r, q, None, None, None) for r in ("a", "A ", "b", None) for q in seqs], WAL)
-    got = {(r.repo_id, r.name, r.pos) for r in run(spark, "b9_advertised_whole", tmp_path).collect()}
+    got = {(r.repo_id, r.name, r.pos) for r in run(spark, "b9_advertised_list", tmp_path).collect()}
     assert got == {(r, f"{q:010d}.bundle", i) for r in ("a", "b", None) for i, q in enumerate(seqs, 1)}
 
 
 def test_limits_are_the_originals(spark, tmp_path):
     up = lambda n: [(f"u{i}", None, "1") for i in range(n)]
     save(spark, tmp_path, "wal_entry", [("a", n, up(n), None, None) for n in (0, 4, 512, 513)], WAL)
-    assert {r.seq: r["count"] for r in run(spark, "m23_transitions_whole", tmp_path).groupBy("seq").count().collect()} == {4: 4, 512: 512}
+    assert {r.seq: r["count"] for r in run(spark, "m23_transitions", tmp_path).groupBy("seq").count().collect()} == {4: 4, 512: 512}
     spark.createDataFrame([(1, 2001), (2, 10 << 20), (3, (10 << 20) + 1)], "doc_id long, n int").select("doc_id", F.expr("repeat('x', n)").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
-    got = run(spark, "f22_size_gate_whole", tmp_path).select("doc_id", "too_large", F.octet_length("content").alias("n"))
+    got = run(spark, "f22_size_gate", tmp_path).select("doc_id", "too_large", F.octet_length("content").alias("n"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, False, 2668), (2, False, 13981016), (3, True, None)]
 
 
@@ -80,6 +80,6 @@ def test_unflushed_packs_hold_entries(spark, tmp_path):
     wal += [("a", 7, [], pack("lone"), None), ("b", 63, up, None, None), ("a", 129, up, pack("p5", "Ag=="), None)]
     save(spark, tmp_path, "wal_entry", wal, WAL)
     save(spark, tmp_path, "packs", [("A", "p9", 1, "s", None, None)], "repo_id string, name string, size_bytes long, source string, created_at timestamp_ntz, blob_repo string")
-    assert sorted(tuple(r) for r in run(spark, "m7_prunable_whole", tmp_path).collect()) == [("a", q) for q in range(1, 129) if q not in (5, 7)]
-    got = {(r.repo, r.name): (r.seq, r.data) for r in run(spark, "m9_inline_packs_whole", tmp_path).collect()}
+    assert sorted(tuple(r) for r in run(spark, "m7_prunable", tmp_path).collect()) == [("a", q) for q in range(1, 129) if q not in (5, 7)]
+    got = {(r.repo, r.name): (r.seq, r.data) for r in run(spark, "m9_inline_packs", tmp_path).collect()}
     assert got == {("a", "p5"): (129, "02"), ("a", "p9"): (9, "01"), ("a", "p130"): (130, "01"), ("a", "lone"): (7, "01")}

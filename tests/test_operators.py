@@ -62,7 +62,7 @@ def test_running_sums_and_eviction(spark):
     rng = random.Random(4)
     data = [(i, rng.randrange(50) if i % 9 else None, rng.randrange(100)) for i in range(300)]
     df = spark.createDataFrame(data, "id int, at int, n int")
-    got = {r.id: r.s for r in windows.ordered_sum(df, ["at", "id"], "n", "s", ranges=8).collect()}
+    got = {r.id: r.s for r in windows.ordered_sum(df, ["at", "id"], "n", "s", range_rows=40).collect()}
     total, want = 0, {}
     for i, _, n in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
         total += n
@@ -122,6 +122,14 @@ def test_closures(spark):
 
     seeds = spark.createDataFrame([(1,), (1,), (None,)], "node long")
     assert dict(rows(graph.closure(df, seeds))) == reach(1)
+    assert dict(rows(graph.closure(df, seeds, within=2))) == {k: v for k, v in reach(1).items() if v <= 2}
+    for core in (4, 1000):
+        assert {n for (n,) in rows(graph.reachable(df, seeds, core=core))} == set(reach(1))
+    lone = spark.createDataFrame([(777,)], "node long")
+    assert rows(graph.reachable(df, lone)) == [(777,)] and graph.reachable(df, lone.limit(0)).count() == 0
+    deep = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.closure(deep, spark.createDataFrame([(0,)], "node long")).agg(F.max("hops")).head()[0] == 60
+    assert graph.reachable(deep, spark.createDataFrame([(0,)], "node long")).count() == 61
     other = spark.createDataFrame([(2,)], "node long")
     assert {n for (n,) in rows(graph.reachable_difference(df, seeds, other))} == set(reach(1)) - set(reach(2))
     with pytest.raises(ValueError):
@@ -144,8 +152,18 @@ def test_history_order(spark):
                 seen.add(p)
                 n += 1
                 heapq.heappush(heap, (-commits[p][2], n, p))
-    assert graph.history(df, "c119", 25) == out
-    assert graph.history(df, "nowhere", 25) == []
+    tips = spark.createDataFrame([("c119",), ("c119",), ("c60",), ("nowhere",), (None,)], "tip string")
+    got = graph.histories(df, tips, 25).collect()
+    assert [(r.sha, r.ts) for r in sorted((r for r in got if r.tip == "c119"), key=lambda r: r.pos)] == out
+    assert {r.tip for r in got} == {"c119", "c60"} and sum(r.tip == "c60" for r in got) == 25
+
+
+def test_path_history(spark):
+    trees = {"t1": "a", "t2": "a", "t3": "b", "t4": None}
+    entries = spark.createDataFrame([(t, "src", f"d{t}", "tree") for t in trees] + [(f"d{t}", "f", o, "blob") for t, o in trees.items() if o], "tree string, name string, oid string, kind string")
+    commits = [("c1", "t4", []), ("c2", "t1", ["c1"]), ("c3", "t2", ["c2"]), ("c4", "t3", ["c2"]), ("m", "t3", ["c3", "c4"]), ("c5", "t4", ["m"]), ("r", "t1", None), ("x", "t1", ["absent"]), ("n", None, ["c2"])]
+    df = spark.createDataFrame(commits, "sha string, tree string, parents array<string>")
+    assert rows(graph.path_history(df, entries, "src/f"), "sha", "oid") == [("c2", "a"), ("c4", "b"), ("c5", None), ("n", None), ("r", "a"), ("x", "a")]
 
 
 def test_trees(spark):
@@ -214,7 +232,54 @@ def test_pack_source(spark, tmp_path):
     got = spark.read.format("objectpack").load(str(tmp_path))
     assert rows(got, "oid", "size") == sorted([("ce013625030ba8dba906f756967f9e9ca394464a", 6), (codec.oid_of("blob", b""), 0)])
     bad = spark.createDataFrame([("x", b"junk"), ("y", None)], "path string, content binary")
-    assert packs.unpack(bad).count() == 0
+    assert rows(packs.unpack(bad), "pack", "oid", "error") == [("x", None, "no pack, or damaged"), ("y", None, "no pack, or damaged")]
+    with pytest.raises(Exception, match="damaged"):
+        packs.unpack(bad, strict=True).count()
+
+
+def test_packs_without_limits_on_their_sum(spark):
+    # over 64 MiB in all, none of the objects over it
+    objects = [("blob", bytes([i]) * (9 << 20)) for i in range(8)]
+    got = codec.read_pack(codec.write_pack(objects))
+    assert [(p.kind, p.data) for p in got] == objects
+    rng = random.Random(1)
+    noise = rng.randbytes(300_000)
+    assert codec.read_pack(codec.write_pack([("blob", noise), ("blob", b"")]))[0].data == noise
+    far = [codec.Packed(codec.oid_of("blob", bytes([i])), "blob", b"", at, i) for i, at in enumerate([12, 1 << 31, 5 << 31])]
+    assert sorted(codec.read_index(codec.write_index(far, b"d" * 20))) == sorted((p.oid, p.crc, p.offset) for p in far)
+
+
+def test_commits_of_a_busy_repo_are_spread(spark):
+    rng = random.Random(7)
+    txs, state, want = [], {}, {}
+    for i in range(200):
+        names = rng.sample([f"r{k}" for k in range(40)], rng.choice([1, 1, 1, 2]))
+        ups = [(n, state.get(n) if rng.random() < 0.8 else "stale", rng.choice([None, f"v{i}"])) for n in names]
+        ok = all(state.get(n) == o for n, o, _ in ups)
+        if ok:
+            state |= {n: v for n, _, v in ups}
+        want[f"t{i}"] = ok
+        txs.append(("hot", i, f"t{i}", ups))
+    txs.append(("hot", 300, "none", []))
+    df = spark.createDataFrame(txs, "repo string, arrival long, tx_id string, updates array<struct<name:string,old:string,new:string>>")
+    assert {r.tx_id: r.ok for r in folds.cas_commit(df).collect()} == want | {"none": True}
+
+
+def test_ranks_and_order_statistics_in_ranges(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None, 3, 7, 9]), i) for i in range(150)]
+    df = spark.createDataFrame(data, "g string, v int, id int")
+    got = {r.id: r.pos for r in windows.ordered_sum(df.withColumn("one", F.lit(1)), ["v", "id"], "one", "pos", ["g"], range_rows=16).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        assert [got[x[2]] for x in mine] == list(range(1, len(mine) + 1))
+    from ledgerspark.operators.relational import nearest_rank
+
+    stat = {r.g: (r.n, r.p50, r.p100) for r in nearest_rank(df, ["g"], "v", [0.5, 1.0]).collect()}
+    for g in ("a", "b", None):
+        vs = sorted(x[1] for x in data if x[0] == g and x[1] is not None)
+        assert stat[g] == (len(vs), vs[min(len(vs) - 1, int(len(vs) * 0.5))], vs[-1])
+    assert windows.keep_last_fulls(spark.createDataFrame([("x", i, i in (2, 5, 7)) for i in range(9)], "k string, t int, f boolean"), ["k"], "t", F.col("f"), keep=2).count() == 4
 
 
 def test_streams(spark, tmp_path):
