@@ -8,9 +8,11 @@ file cannot fill a worker; the number of objects and their sum are not.
 from __future__ import annotations
 
 import bisect
+import difflib
 import gzip
 import hashlib
 import hmac as _hmac
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable
@@ -248,6 +250,93 @@ def read_index(data: bytes) -> list[tuple[str, int, int]]:
     return list(zip(ids, crc, place, strict=True))
 
 
+def find_place(index: bytes, oid: str) -> int | None:
+    """Place of an object's packed form, from an index: the running counts of first bytes bound a binary search."""
+    if index[:8] != INDEX_MAGIC + b"\0\0\0\2" or len(index) < 1072:
+        raise ValueError("no index")
+    key = bytes.fromhex(oid)
+    fan = struct.unpack(">256I", index[8:1032])
+    lo, hi, n = fan[key[0] - 1] if key[0] else 0, fan[key[0]], fan[255]
+    i = bisect.bisect_left(range(hi), key, lo, hi, key=lambda j: index[1032 + 20 * j : 1052 + 20 * j])
+    if i >= hi or index[1032 + 20 * i : 1052 + 20 * i] != key:
+        return None
+    at = struct.unpack(">I", index[1032 + 24 * n + 4 * i :][:4])[0]
+    return struct.unpack(">Q", index[1032 + 28 * n + 8 * (at & 0x7FFFFFFF) :][:8])[0] if at >> 31 else at
+
+
+def read_object(wire: bytes, index: bytes, oid: str) -> tuple[str, bytes] | None:
+    """(kind, bytes) of one object of a pack, None if the index doesn't have it. Only the object is inflated, and what its
+    deltas rest on, each once."""
+    at = find_place(index, oid)
+    if at is None:
+        return None
+    deltas: list[bytes] = []
+    seen = set()
+    while True:
+        if at in seen or not 12 <= at < len(wire) - 20:
+            raise ValueError("bad place, or deltas in a loop")
+        seen.add(at)
+        kind, size, body = read_head(wire, at)
+        base: int | None = None
+        if kind == OFS_DELTA:
+            back, body = read_back_offset(wire, body)
+            base = at - back
+        elif kind == REF_DELTA:
+            base, body = find_place(index, wire[body : body + 20].hex()), body + 20
+            if base is None:
+                raise ValueError("a delta's base is missing")
+        elif kind not in KINDS:
+            raise ValueError("unknown kind")
+        data = inflate(wire[body : body + size + (size >> 6) + 1024], max(size, 1))
+        if len(data) < size:
+            data = inflate(wire[body:], max(size, 1))
+        if len(data) != size:
+            raise ValueError("size differs")
+        if base is None:
+            for d in reversed(deltas):
+                data = apply_delta(data, d)
+            return KINDS[kind], data
+        deltas.append(data)
+        at = base
+
+
+_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
+
+
+def apply_patch(text: str, diff: str) -> str:
+    """A text after a unified diff of it. Every kept or removed line must be there as the diff has it, at its place;
+    otherwise ValueError. "No newline at end of file" is understood; file headers are passed over."""
+    old = re.findall(r"[^\n]*\n|[^\n]+", text)
+    out: list[str] = []
+    at = 0
+    lines = diff.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    inside = False
+    for i, line in enumerate(lines):
+        if m := _HUNK.match(line):
+            start = int(m[1]) - (m[2] != "0")
+            if not at <= start <= len(old):
+                raise ValueError("hunk out of place")
+            out += old[at:start]
+            at, inside = start, True
+        elif not inside or line.startswith("\\"):
+            continue
+        else:
+            sign, body = line[:1], line[1:]
+            if not (i + 1 < len(lines) and lines[i + 1].startswith("\\")):
+                body += "\n"
+            if sign in (" ", "-"):
+                if at >= len(old) or old[at] != body:
+                    raise ValueError("the text differs from the diff")
+                at += 1
+            if sign in (" ", "+"):
+                out.append(body)
+            elif sign != "-":
+                raise ValueError("bad line")
+    return "".join(out + old[at:])
+
+
 def read_bundle(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Refs (name, oid) and the pack of a bundle; one that needs objects from elsewhere is refused."""
     if not data.startswith(BUNDLE_MAGIC):
@@ -265,8 +354,10 @@ def read_bundle(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return refs, pack
 
 
-def write_bundle(refs: Iterable[tuple[str, str]], pack: bytes) -> bytes:
-    return BUNDLE_MAGIC + "".join(f"{o} {n}\n" for n, o in sorted(refs)).encode() + b"\n" + pack
+def write_bundle(refs: Iterable[tuple[str, str]], pack: bytes, without: Iterable[str] = ()) -> bytes:
+    """Refs (name, oid) and a pack; `without` are the tips whose objects the reader must have already."""
+    top = "".join(f"-{o}\n" for o in sorted(without)) + "".join(f"{o} {n}\n" for n, o in sorted(refs))
+    return BUNDLE_MAGIC + top.encode() + b"\n" + pack
 
 
 def parse_tree(data: bytes, lenient: bool = False) -> list[tuple[str, str, str, str]]:
@@ -476,6 +567,34 @@ def sign_col(secret, body):  # noqa: ANN001, ANN201
     return _udf(lambda s, b: sign(s.encode(), b.encode() if isinstance(b, str) else bytes(b)), "string")(secret, body)
 
 
+def make_diff(old: str, new: str, context: int = 3) -> str:
+    """A unified diff, as apply_patch() reads it."""
+    cut = lambda t: re.findall(r"[^\n]*\n|[^\n]+", t)
+    out = []
+    for line in difflib.unified_diff(cut(old), cut(new), "a", "b", n=context):
+        out.append(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n")
+    return "".join(out)
+
+
+def diff_col(old, new):  # noqa: ANN001, ANN201
+    return _udf(make_diff, "string")(old, new)
+
+
+def patch_col(text, diff):  # noqa: ANN001, ANN201
+    """apply_patch() of columns, null where the diff doesn't fit."""
+    return _udf(lambda t, d: apply_patch(t, d), "string")(text, diff)
+
+
+def index_col(idx):  # noqa: ANN001, ANN201
+    """The ids that an index lists."""
+    return _udf(lambda b: [o for o, _, _ in read_index(bytes(b))], "array<string>")(idx)
+
+
+def bundle_refs_col(c):  # noqa: ANN001, ANN201
+    """The refs of a bundle that needs nothing else, as {name, oid}."""
+    return _udf(lambda b: [{"name": n, "oid": o} for n, o in read_bundle(bytes(b))[0]], "array<struct<name:string,oid:string>>")(c)
+
+
 def fnv_col(c):  # noqa: ANN001, ANN201
     return _udf(lambda s: f"{fnv1a64(s.encode()):016x}", "string")(c)
 

@@ -137,7 +137,7 @@ def lru_cache(reads: DataFrame, most_bytes: int) -> DataFrame:
                 used -= kept.popitem(last=False)[1]
         return (kept, used), [(row["reader"], row["at"], b, hit)]
 
-    return fold(reads, ["reader"], ["at", "block"], lambda k: (OrderedDict(), 0), step, "reader long, at long, block long, hit boolean")
+    return fold(reads, ["reader"], ["at", "block", "bytes"], lambda k: (OrderedDict(), 0), step, "reader long, at long, block long, hit boolean")
 
 
 def negative_cache(lookups: DataFrame, ttl_s: int) -> DataFrame:

@@ -207,7 +207,21 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return G.merge3(base, ours, theirs)
 
 
-@R.add("g16_tree_build")
+def _tree_sql(levels: int) -> str:
+    """Folder ids from the deepest level up: t<k> are the folders at depth k."""
+    out = [f"f as (select repo_id, name path, target oid, len(string_split(name, '/')) depth from (select {K('repo_id')} repo_id, name, max({K('target')}) target from refs group by 1, 2) where regexp_full_match(target, '[0-9a-f]{{40}}') and name <> '')"]
+    for k in range(levels, 0, -1):
+        files = f"select repo_id, path, oid, '100644' as mode from f where depth = {k}"
+        if k < levels:
+            here = f"select * from ({files}) x where not exists (select 1 from t{k} where t{k}.repo_id is not distinct from x.repo_id and t{k}.path = x.path) union all select repo_id, path, oid, '40000' from t{k}"
+        else:
+            here = files
+        out.append(f"""t{k - 1} as (select repo_id, path, sha1(encode('tree ' || octet_length(body)) || '\\x00'::blob || body) oid from (select repo_id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end path,
+          unhex(string_agg(hex(encode(mode || ' ' || string_split(path, '/')[-1])) || '00' || oid, '' order by encode(string_split(path, '/')[-1] || case when mode = '40000' then '/' else '' end))) body from ({here}) group by all))""")
+    return "with " + ", ".join(out) + " " + " union all ".join(f"select repo_id, path, oid from t{k}" for k in range(levels))
+
+
+@R.add("g16_tree_build", _tree_sql(12))
 def g16(spark: SparkSession, d: str) -> DataFrame:
     """The refs of every repo as a tree of folders, each ref a file of its target's id."""
     refs = refs_of(spark, d).filter("target RLIKE '^[0-9a-f]{40}$'")

@@ -63,6 +63,32 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d), ["src"], ["repo_id", "row_key"], "at")
 
 
+_KEYS = f"""d as (select distinct id, {K("webhook_id")} hook, {K("repo_id")} repo from deliveries), w as (select distinct {K("id")} hook, {K("repo_id")} repo from webhooks)"""
+_WHOLE = "d.hook is not null and d.repo is not null and not exists (select 1 from w where w.hook = d.hook and w.repo = d.repo)"
+
+
+def _composite(spark: SparkSession, d: str, match: str) -> DataFrame:
+    sent = table(spark, d, "deliveries").select("id", clean_key("webhook_id").alias("hook"), clean_key("repo_id").alias("repo")).distinct()
+    hooks = table(spark, d, "webhooks").select(clean_key("id").alias("hook"), clean_key("repo_id").alias("repo"))
+    return find_orphans(sent, hooks, ["hook", "repo"], match=match)
+
+
+@R.add(
+    "p1_partial",
+    f"""with {_KEYS} select id, hook, repo, 'missing' as kind from d where {_WHOLE}
+    or (d.hook is not null and d.repo is null and d.hook not in (select hook from w where hook is not null)) or (d.hook is null and d.repo is not null and d.repo not in (select repo from w where repo is not null))""",
+)
+def p1_partial(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries whose hook and repo, as far as they are given, no hook has together."""
+    return _composite(spark, d, "partial")
+
+
+@R.add("p1_full", f"with {_KEYS} select id, hook, repo, case when d.hook is null or d.repo is null then 'malformed' else 'missing' end as kind from d where {_WHOLE} or (d.hook is null) <> (d.repo is null)")
+def p1_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same where hook and repo must both be given, or neither."""
+    return _composite(spark, d, "full")
+
+
 def commit_links(commits: DataFrame) -> DataFrame:
     """(id, parent): the cleaned sha and the first entry of parents that isn't none."""
     first = F.filter(F.transform("parents", clean_key), lambda p: p.isNotNull())
@@ -158,11 +184,34 @@ def p3_changed(spark: SparkSession, d: str) -> DataFrame:
     return found.select("repo_id", "name", F.array_join("changed", ",").alias("changed"))
 
 
-@R.add("p5_found")
+_MARK_SQL = f"""select repo, coalesce(max(seq) filter (seq = j), 0)::bigint as watermark from (select repo, seq, row_number() over (partition by repo order by seq) j from
+    (select distinct {K("repo_id")} repo, seq from wal_entry where {K("repo_id")} is not null and seq >= 1)) group by 1"""
+
+
+def _replay_sql(also: str = "true") -> str:
+    """Updates one by one: base is the state before their entry, cur what the entry makes of it while all is well."""
+    return f"""with recursive x as (select {K("repo_id")} repo, seq, arg_min(updates, coalesce(received_at, timestamp '9999-12-31')) updates from wal_entry where {K("repo_id")} is not null and seq is not null and len(updates) > 0 group by 1, 2),
+    m as ({_MARK_SQL}), u as (select repo, seq, i, row_number() over (partition by repo order by seq, i) k, updates[i].Name as name, {K("updates[i].Old")} as old, {K("updates[i].New")} as new
+      from (select repo, seq, updates, unnest(range(1, len(updates) + 1)) i from x left join m using (repo) where {also})),
+    f as (select repo, k, seq, name is not null and old is null as ok, []::struct(n varchar, t varchar)[] as base, case when name is not null and old is null and new is not null then [{{'n': name, 't': new}}] else [] end cur from u where k = 1
+      union all select repo, k, seq, ok and good, base, case when ok and good then list_concat(list_filter(cur, lambda s: s.n <> name), case when new is null then [] else [{{'n': name, 't': new}}] end) else cur end from (
+        select *, name is not null and old is not distinct from list_filter(cur, lambda s: s.n = name)[1].t as good from (
+          select u.repo, u.k, u.seq, u.name, u.old, u.new, u.i = 1 or f.ok as ok, case when u.i > 1 then f.base when f.ok then f.cur else f.base end base, case when u.i > 1 or f.ok then f.cur else f.base end cur
+          from f join u on u.repo = f.repo and u.k = f.k + 1)))
+    select repo as repo_id, s.n as name, s.t as target from (select repo, unnest(case when ok then cur else base end) s from f where (repo, k) in (select repo, max(k) from u group by 1))"""
+
+
+@R.add("p5_found", _replay_sql())
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return replay(table(spark, d, "wal_entry"))
 
 
+@R.add("p5_held", _replay_sql("seq <= watermark"))
+def p5_held(spark: SparkSession, d: str) -> DataFrame:
+    """The refs at each repo's contiguous watermark: what came behind a gap is held back."""
+    return replay(table(spark, d, "wal_entry"), hold_gaps=True)
+
+
 @R.add(
     "p5_watermark",
     f"""with s as (select distinct {K("repo_id")} repo, seq from wal_entry where {K("repo_id")} is not null and seq >= 1),

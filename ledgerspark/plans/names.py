@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions import predicates as P
 from ledgerspark.functions import scalars as X
 from ledgerspark.keys import clean_key_sql
+from ledgerspark.plans.bits import CRC, byte_list
 from ledgerspark.plans.registry import Registry, table
 
 R = Registry()
@@ -128,7 +129,14 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.sha256_hex("text").alias("digest"))
 
 
-@R.add("x3_crc32")
+#: The table of CRC-32, from its polynomial, and the checksum as a fold over bytes.
+_CRC_TABLE = f"list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, list_transform(range(8), lambda k: 0::bigint)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, {CRC}) else c >> 1 end))"
+
+
+@R.add(
+    "x3_crc32",
+    f"select doc_id, case when text = '' then 0 when text is not null then xor(list_reduce(list_prepend(4294967295::bigint, {byte_list('encode(text)')}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) end as crc from documents, (select {_CRC_TABLE} tab)",
+)
 def x3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.crc32("text").alias("crc"))
 

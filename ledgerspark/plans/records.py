@@ -10,6 +10,7 @@ from ledgerspark.functions import scalars as X
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators import graph, relational, windows
 from ledgerspark.operators.replay import assemble
+from ledgerspark.plans.bits import hmac
 from ledgerspark.plans.metadata import packs_of, refs_of, repos_of
 from ledgerspark.plans.registry import Registry, table
 from ledgerspark.plans.sequences import changes
@@ -135,14 +136,16 @@ def s26(spark: SparkSession, d: str) -> DataFrame:
     return refs_of(spark, d).join(c, "target").select("repo_id", "name", "message")
 
 
-_LINES = "author is not null and email is not null and \"timestamp\" is not null and committer_ts is not null and message is not null"
+_IDENT = r"""regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '[\x00\n\r<>]', '', 'g'), '^[\x00-\x20.,:;''"]+', ''), '[\x00-\x20.,:;''"]+$', '')"""
 
 
-@R.add("x20_parse_commit", f"select sha, tree, trim(author) as author, email, \"timestamp\" as ts, committer_ts from commits where {_LINES} and not contains(author, '<') and not contains(email, '>')")
+@R.add("x20_parse_commit", f"select sha, tree, {_IDENT.format('author')} as author, {_IDENT.format('email')} as email, coalesce(\"timestamp\", 0) as ts, coalesce(committer_ts, 0) as committer_ts from commits where tree <> ''")
 def x20(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commits").filter(f"{_LINES.replace(chr(34), '`')} AND NOT contains(author, '<') AND NOT contains(email, '>')")
-    line = lambda who, ts: F.concat(F.lit(f"{who} "), "author", F.lit(" <"), "email", F.lit("> "), F.col(ts).cast("string"), F.lit(" +0000\n"))
-    body = F.concat(F.lit("tree "), "tree", F.lit("\n"), line("author", "timestamp"), line("committer", "committer_ts"), F.lit("\n"), "message")
+    """Commits written out as a writer writes them, whatever is missing, and parsed."""
+    c = table(spark, d, "commits").filter("tree <> ''")
+    who = F.concat(X.clean_ident(F.coalesce("author", F.lit(""))), F.lit(" <"), X.clean_ident(F.coalesce("email", F.lit(""))), F.lit("> "))
+    line = lambda role, ts: F.concat(F.lit(f"{role} "), who, F.coalesce(ts, F.lit(0)).cast("string"), F.lit(" +0000\n"))
+    body = F.concat(F.lit("tree "), "tree", F.lit("\n"), line("author", "timestamp"), line("committer", "committer_ts"), F.lit("\n"), F.coalesce("message", F.lit("")))
     return c.select("sha", codec.commit_col(F.encode(body, "UTF-8")).alias("c")).select("sha", "c.tree", "c.author", "c.email", "c.ts", "c.committer_ts")
 
 
@@ -183,7 +186,10 @@ def x29(spark: SparkSession, d: str) -> DataFrame:
     return got.select("repo", "seq", "c.old", "c.new", "c.ref")
 
 
-@R.add("x9_capability_links")
+@R.add(
+    "x9_capability_links",
+    f"select distinct repo_id, name, {hmac("encode('secret')", "encode(repo_id || ':' || name || ':1900000000')")} as signature from (select {K('repo_id')} repo_id, name from packs) where repo_id is not null and name is not null",
+)
 def x9(spark: SparkSession, d: str) -> DataFrame:
     p = packs_of(spark, d).filter("repo_id IS NOT NULL AND name IS NOT NULL")
     return p.select("repo_id", "name", codec.capability_col("secret", F.col("repo_id"), F.col("name"), 1_900_000_000).alias("signature"))
@@ -198,12 +204,6 @@ def pk6(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.explode(ids("idx")).alias("oid"))
 
 
-@R.add("pk7_point_read", f"select {K('sha')} as oid, max(tree) as tree from commits where {K('sha')} in (select {K('target')} from refs where {K('target')} is not null) group by 1")
-def pk7(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commits").groupBy(clean_key("sha").alias("oid")).agg(F.max("tree").alias("tree"))
-    return packs.point_read(c, refs_of(spark, d).select(F.col("target").alias("oid")).filter("oid IS NOT NULL"))
-
-
 @R.add(
     "g14_merge_decision",
     """select p_partkey, case when p_size % 5 = 0 then 'up_to_date' when p_size % 3 = 0 and p_partkey % 2 = 0 then 'fast_forward' when p_size % 3 <> 0 and p_partkey % 7 = 0 then 'refused' when p_partkey % 11 = 0 then 'conflict'
@@ -246,16 +246,3 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
     return at.select(F.nullif("id", F.lit("")).alias("repo_id"), F.concat(F.lpad(F.col("seq").cast("string"), 10, "0"), F.lit(".bundle")).alias("name"), "pos")
 
 
-@R.add("b14_remote_packs", f"""with p as (select {K('repo_id')} repo_id, name, max(size_bytes) b from packs group by 1, 2), t as (select repo_id, sum(b) s from p group by 1)
-    select p.repo_id, p.name from p join t using (repo_id) where t.s > 200000 and p.b > 10000""")
-def b14(spark: SparkSession, d: str) -> DataFrame:
-    p = packs_of(spark, d)
-    big = p.groupBy("repo_id").agg(F.sum("size_bytes").alias("s")).filter("s > 200000").select("repo_id")
-    return p.filter("size_bytes > 10000").join(big, "repo_id", "left_semi").select("repo_id", "name")
-
-
-@R.add("b1_upkeep_report", f"select r.id as repo_id, count(p.name) as packs, coalesce(sum(p.b), 0)::bigint as bytes from (select distinct {K('id')} id from repos) r left join (select {K('repo_id')} repo_id, name, max(size_bytes) b from packs group by 1, 2) p on p.repo_id = r.id group by 1")
-def b1(spark: SparkSession, d: str) -> DataFrame:
-    n = packs_of(spark, d).groupBy("repo_id").agg(F.count("name").alias("packs"), F.sum("size_bytes").alias("bytes"))
-    both = repos_of(spark, d).select(F.col("id").alias("repo_id")).join(n, "repo_id", "left")
-    return both.select("repo_id", F.coalesce("packs", F.lit(0)).alias("packs"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))

@@ -81,7 +81,17 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
     return windows.evict(idle, ["at", "repo_id"], "bytes", used, used)
 
 
-@R.add("w8_block_cache")
+@R.add(
+    "w8_block_cache",
+    """with recursive r as (select l_suppkey reader, l_orderkey * 8 + l_linenumber as "at", l_partkey % 50 as block, l_quantity::bigint bytes from lineitem),
+    e as (select *, row_number() over (partition by reader order by "at", block, bytes) i from r),
+    f as (select reader, "at", block, i, false hit, [{'b': block, 'n': bytes}] kept from e where i = 1
+      union all select reader, "at", block, i, hit, kept[list_min(list_filter(range(1, len(kept) + 1), lambda j: list_sum(list_transform(kept[j:], lambda x: x.n)) <= 500 or j = len(kept))):] from (
+        select e.reader, e."at", e.block, e.i, list_contains(list_transform(f.kept, lambda x: x.b), e.block) hit,
+          list_append(list_filter(f.kept, lambda x: x.b <> e.block), coalesce(list_filter(f.kept, lambda x: x.b = e.block)[1], {'b': e.block, 'n': e.bytes})) kept
+        from f join e on e.reader = f.reader and e.i = f.i + 1))
+    select reader, "at", block, hit from f""",
+)
 def w8(spark: SparkSession, d: str) -> DataFrame:
     reads = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("reader"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), (F.col("l_partkey") % 50).alias("block"), F.col("l_quantity").cast("long").alias("bytes"))
     return folds.lru_cache(reads, 500)

@@ -13,6 +13,7 @@ from ledgerspark.functions import scalars as X
 from ledgerspark.keys import clean_key, clean_key_sql
 from ledgerspark.operators import folds, maintain
 from ledgerspark.operators.replay import assemble
+from ledgerspark.plans.bits import fnv, hmac
 from ledgerspark.plans.metadata import NOW, now, packs_of
 from ledgerspark.plans.registry import Registry, table
 from ledgerspark.shared import shared_dir
@@ -86,7 +87,14 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
     return maintain.compaction_due(packs_of(spark, d), now())
 
 
-@R.add("t11_negative_cache")
+@R.add(
+    "t11_negative_cache",
+    """with recursive e as (select user_id subject, ts as "at", event_id id, event_type is distinct from 'error' ok, epoch_us(ts) us, row_number() over (partition by user_id order by ts, event_id) i from events),
+    f as (select subject, "at", id, i, true as asked, case when not ok then us + 3600000000 end as until from e where i = 1
+      union all select e.subject, e."at", e.id, e.i, f.until is null or e.us >= f.until,
+        case when f.until is null or e.us >= f.until then case when not e.ok then e.us + 3600000000 end else f.until end from f join e on e.subject = f.subject and e.i = f.i + 1)
+    select subject, "at", id, asked from f""",
+)
 def t11(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("found"))
     return folds.negative_cache(e, 3600)
@@ -108,11 +116,11 @@ def s21(spark: SparkSession, d: str) -> DataFrame:
     return blobs.first_tier(parts).select("oid", "tier")
 
 
-@R.add("s5_listing", "select true as some, true as sized")
+@R.add("s5_listing")
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    files = blobs.listing(spark, os.path.dirname(os.path.realpath(d)))
-    mine = files.filter(F.col("repo_id") == os.path.basename(os.path.realpath(d)))
-    return mine.agg((F.count(F.lit(1)) >= 1).alias("some"), F.bool_and(F.col("size") > 0).alias("sized"))
+    """Every file of the folder of tables, with its size."""
+    at = os.path.realpath(d)
+    return blobs.listing(spark, os.path.dirname(at)).filter(F.col("repo_id") == os.path.basename(at)).select("name", "size")
 
 
 @R.add("s27_hooks_as_json", f"select repo_id, count(*) n from (select {K('repo_id')} repo_id, id from webhooks where repo_id is not null) group by 1")
@@ -146,12 +154,12 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return logs.current_refs(logs.read_written(spark, root, n))
 
 
-@R.add("x8_signatures")
+@R.add("x8_signatures", f"select id, 'sha256=' || {hmac("encode(coalesce(webhook_id, ''))", "encode(coalesce(payload, ''))")} as signature from deliveries")
 def x8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "deliveries").select("id", codec.sign_col(F.coalesce("webhook_id", F.lit("")), F.coalesce("payload", F.lit(""))).alias("signature"))
 
 
-@R.add("x4_weak_tags")
+@R.add("x4_weak_tags", f"""select repo_id, name, 'W/"' || ({fnv("b")}) || '"' as etag from (select repo_id, name, encode(concat_ws('/', '/repos', repo_id, name)) b from refs)""")
 def x4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "refs").select("repo_id", "name", F.concat(F.lit('W/"'), codec.fnv_col(F.concat_ws("/", F.lit("/repos"), "repo_id", "name")), F.lit('"')).alias("etag"))
 

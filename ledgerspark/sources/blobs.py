@@ -9,6 +9,7 @@ import contextlib
 import os
 import re
 import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +67,49 @@ def first_tier(tiers: list[DataFrame], key: str = "oid") -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), "_tier").alias("_r"), F.min("_tier").alias("tier")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest], "tier")
 
 
-class LocalStore:
-    """The store on one file system: <root>/<repo>/<name>."""
+class Store:
+    """What every store does, <root>/<repo>/<name> being a file. get() gives None for a missing file, fetch() an error."""
+
+    root: str
+
+    def put(self, repo: str, name: str, data: bytes) -> None:
+        raise NotImplementedError
+
+    def put_if_absent(self, repo: str, name: str, data: bytes) -> bool:
+        raise NotImplementedError
+
+    def get(self, repo: str, name: str) -> bytes | None:
+        raise NotImplementedError
+
+    def names(self, repo: str) -> list[str]:
+        """Names of the files directly below a repo, in order."""
+        raise NotImplementedError
+
+    def fetch(self, repo: str, name: str) -> bytes:
+        data = self.get(repo, name)
+        if data is None:
+            raise FileNotFoundError(f"{repo}/{name}")
+        return data
+
+
+def store_at(spark: SparkSession, root: str) -> Store:
+    """The store for a root: one on the machine's own file system for file: roots, else on Hadoop's file systems."""
+    if ":" not in root or root.startswith("file:"):
+        return LocalStore(re.sub("^file:/*", "/", root))
+    return HadoopStore(spark, root)
+
+
+class LocalStore(Store):
+    """The store on one file system, which may be mounted on many machines: <root>/<repo>/<name>."""
 
     def __init__(self, root: str) -> None:
         self.root = root
 
+    def names(self, repo: str) -> list[str]:
+        with contextlib.suppress(FileNotFoundError):
+            return sorted(n for n in os.listdir(os.path.join(self.root, repo)) if not n.endswith(".part"))
+        return []
+
     def path(self, repo: str, name: str) -> str:
         full = os.path.normpath(os.path.join(self.root, repo, name))
         if not full.startswith(os.path.join(os.path.normpath(self.root), repo) + os.sep):
@@ -120,6 +158,91 @@ class LocalStore:
             os.unlink(self.path(repo, name))
 
 
+class HadoopStore(Store):
+    """The store on any of Hadoop's file systems, from the driver. put_if_absent writes aside and then renames without
+    overwriting, which HDFS does atomically; an object store needs one that refuses to overwrite. Server-side copies are the
+    file system's matter."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        sc = spark.sparkContext
+        self.root, self._jvm, self._conf = root.rstrip("/"), sc._jvm, sc._jsc.hadoopConfiguration()
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self._conf)
+
+    def _path(self, repo: str, name: str) -> object:
+        if not name or name.startswith("/") or any(p in ("", ".", "..") for p in f"{repo}/{name}".split("/")):
+            raise ValueError(f"bad key {name!r}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{repo}/{name}")
+
+    def _write(self, path: object, data: bytes) -> None:
+        out = self._fs.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+    def put(self, repo: str, name: str, data: bytes) -> None:
+        to = self._path(repo, name)
+        part = to.suffix(f".{uuid.uuid4().hex}.part")
+        self._write(part, data)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(part, to, self._rename("OVERWRITE"))
+
+    def _rename(self, *how: str) -> object:
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        out = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), len(how))
+        for i, h in enumerate(how):
+            out[i] = kind.valueOf(h)
+        return out
+
+    def put_if_absent(self, repo: str, name: str, data: bytes) -> bool:
+        to = self._path(repo, name)
+        if self._fs.exists(to):
+            return False
+        part = to.suffix(f".{uuid.uuid4().hex}.part")
+        self._write(part, data)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(part, to, self._rename())
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            self._fs.delete(part, False)
+
+    def get(self, repo: str, name: str) -> bytes | None:
+        at = self._path(repo, name)
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def get_range(self, repo: str, name: str, offset: int, length: int) -> bytes:
+        """A part of a file, shorter at its end."""
+        if length <= 0:
+            raise ValueError("length must be positive")
+        stream = self._fs.open(self._path(repo, name))
+        try:
+            stream.seek(offset)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(self._jvm.org.apache.commons.io.input.BoundedInputStream(stream, length)))
+        finally:
+            stream.close()
+
+    def names(self, repo: str) -> list[str]:
+        at = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{repo}")
+        if not self._fs.exists(at):
+            return []
+        return sorted(n for f in self._fs.listStatus(at) if not (n := f.getPath().getName()).endswith(".part"))
+
+    def copy(self, repo: str, name: str, to: str) -> None:
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(repo, name), self._fs, self._path(repo, to), False, self._conf)
+
+    def delete(self, repo: str, name: str) -> None:
+        self._fs.delete(self._path(repo, name), False)
+
+
 class SharedStore:
     """Writing to a root URI that all executors reach: a mounted folder (file:), or what pyarrow has a file system for.
     A repeated write replaces the file, so that a retried task does no harm."""

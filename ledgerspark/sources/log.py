@@ -14,7 +14,7 @@ from ledgerspark.functions.codec import gunzip_col, gzip_if_smaller
 from ledgerspark.operators.relational import sequence_gaps
 from ledgerspark.operators.windows import latest
 from ledgerspark.shared import cut, discard
-from ledgerspark.sources.blobs import LocalStore, SharedStore
+from ledgerspark.sources.blobs import SharedStore, Store
 
 ENTRY = "seq long, updates array<struct<Name:string,Old:string,New:string>>, events array<struct<Name:string,Payload:string>>, packs array<struct<name:string,data:string,idx:string>>, ts long"
 SNAPSHOT = "seq long, default_branch string, public boolean, refs array<struct<name:string,target:string>>, ts long"
@@ -107,7 +107,7 @@ class LogWriter:
     """Commits batches of transactions to one repository's log, from the driver. A batch becomes one entry, made by
     creating the next number exclusively; who loses the race reads on and checks again."""
 
-    def __init__(self, store: LocalStore, repo: str, tries: int = 4) -> None:
+    def __init__(self, store: Store, repo: str, tries: int = 4) -> None:
         self.store, self.repo, self.tries = store, repo, tries
         self.seq, self.refs = 0, {}
         self.sync()

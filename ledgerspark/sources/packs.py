@@ -96,9 +96,51 @@ def repack(objects: DataFrame, by: str) -> DataFrame:
     return objects.select(by, "kind", "data").groupBy(by).applyInPandas(run, f"{by} {kind}, content binary, idx binary, n long")
 
 
-def point_read(objects: DataFrame, oids: DataFrame) -> DataFrame:
-    """Objects by id: an equi-join takes the place of the index."""
-    return objects.join(oids.select("oid").distinct(), "oid", "left_semi")
+def point_read(packs: DataFrame, oids: DataFrame, by: str = "pack") -> DataFrame:
+    """(by, oid, kind, data) of the objects oids(oid) in packs(by, content, idx): the indexes say which pack has which, and
+    of a pack only the objects asked for are inflated. An object in several packs comes from each."""
+    asked = oids.select("oid").filter("oid IS NOT NULL").distinct()
+    listed = packs.select(by, F.explode(codec.index_col("idx")).alias("oid"))
+    want = listed.join(asked, "oid", "left_semi").groupBy(by).agg(F.collect_set("oid").alias("want"))
+    kind = packs.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i in range(rb.num_rows):
+                wire, idx = rb.column("content")[i].as_py(), rb.column("idx")[i].as_py()
+                want = rb.column("want")[i].as_py()
+                for at in range(0, len(want), 1000):
+                    got = [(o, codec.read_object(wire, idx, o)) for o in want[at : at + 1000]]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(rb.column(by)[i], len(got)), pa.array([o for o, _ in got]), pa.array([g[0] for _, g in got], pa.string()), pa.array([g[1] for _, g in got], pa.binary())], [by, "oid", "kind", "data"])
+
+    # a pack's list of wanted objects is no longer than its index
+    return packs.join(want, by).mapInArrow(run, f"{by} {kind}, oid string, kind string, data binary")
+
+
+def bundles(objects: DataFrame, refs: DataFrame, by: str, before: DataFrame | None = None) -> DataFrame:
+    """(by, content): per group one bundle of its refs(by, name, target) and its objects(by, kind, data), whole; with
+    before(by, target), the tips of the last bundle, one that needs what these reach: objects are then what the refs reach
+    beyond them (see graph.reachable_difference). A bundle is one file, so a group's objects meet in one task, as in repack().
+    Groups without refs have none; targets that are no whole ids are left out, as no reader takes them."""
+    packed = repack(objects, by)
+    heads = refs.filter("name IS NOT NULL AND target RLIKE '^[0-9a-f]{40}$'").groupBy(by).agg(F.collect_set(F.struct("name", "target")).alias("refs"))
+    both = heads.join(packed.select(by, "content"), by, "left")
+    if before is not None:
+        both = both.join(before.filter("target RLIKE '^[0-9a-f]{40}$'").groupBy(by).agg(F.collect_set("target").alias("known")), by, "left")
+    else:
+        both = both.withColumn("known", F.lit(None).cast("array<string>"))
+    kind = refs.schema[by].dataType.simpleString()
+    empty = codec.write_pack([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            made = [
+                codec.write_bundle([(r["name"], r["target"]) for r in refs], pack or empty, known or ())
+                for refs, pack, known in zip(rb.column("refs").to_pylist(), rb.column("content").to_pylist(), rb.column("known").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([rb.column(by), pa.array(made, pa.binary())], [by, "content"])
+
+    return both.mapInArrow(run, f"{by} {kind}, content binary")
 
 
 def size_groups(objects: DataFrame, size: str, most_bytes: int, salt: str = "oid") -> DataFrame:
