@@ -23,7 +23,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
-@R.add("p6_counts", "select count(*) as n, count(*) filter (text is null or text = '') as n_empty, sum(length(coalesce(text, ''))) as n_chars from documents")
+@R.add("p6_counts", "select count(*) as n, count(*) filter (text is null or text = '') as n_empty, sum(length(coalesce(text, '')))::bigint as n_chars from documents")
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     """The corpus as its ids have it: documents, those without any id, and characters."""
     back = tokens.decode(tokens.encode(table(spark, d, "documents")))
