@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerspark.keys import clean_key
+from ledgerspark.operators.commit import apply_entries
+from ledgerspark.operators.windows import latest
 from ledgerspark.shared import shared_dir
 
 CHANGES = ["repo", "seq", "pos", "ref", "old", "new", "ts"]
@@ -84,3 +86,39 @@ def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> N
     the same number."""
     at = f"{shared_dir(stream.sparkSession)}/ledgerspark/{uuid.uuid4().hex}-state"
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
+#: What applying a batch of entries writes, in this order: a batch counts once its seqs are there.
+APPLIED = ("changes", "packs", "outbox", "seqs")
+
+
+def apply_log(stream: DataFrame, hooks: DataFrame, at: str) -> None:
+    """Applies a stream of entries(repo, seq, updates, events, packs), as operators.commit.apply_entries takes them, to the end
+    of its input: every batch writes its changes of refs, its packs, the jobs of its events and how far each repo came below
+    `at`, in folders of its own number, seqs last. A batch that comes again after a failure overwrites what it wrote."""
+    spark = stream.sparkSession
+    none = spark.createDataFrame([], "repo string, name string, target string")
+
+    def batch(df: DataFrame, n: int) -> None:
+        df = df.persist()
+        out = apply_entries(df, none, none.select("repo", "name"), hooks)
+        ups = df.select("repo", "seq", F.posexplode("updates").alias("pos", "u"))
+        out["changes"] = ups.select("repo", "seq", "pos", F.col("u.name").alias("name"), F.col("u.new").alias("target"))
+        for t in APPLIED:
+            out[t].write.mode("overwrite").parquet(f"{at}/{t}/batch={n}")
+        df.unpersist()
+
+    run_batches(stream, batch)
+
+
+def read_applied(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """refs, packs, outbox and seqs as of the batches that were applied as a whole."""
+    seqs = spark.read.parquet(f"{at}/seqs")
+    whole = seqs.select("batch").distinct()
+    t = {n: spark.read.parquet(f"{at}/{n}").join(F.broadcast(whole), "batch", "left_semi") for n in ("changes", "packs", "outbox")}
+    return {
+        "refs": latest(t["changes"], ["repo", "name"], ["seq", "pos"], "target").select("repo", "name", "target"),
+        "packs": t["packs"].select("repo", "name").distinct(),
+        "outbox": t["outbox"].drop("batch").distinct(),
+        "seqs": seqs.groupBy("repo").agg(F.max("seq").alias("seq")),
+    }

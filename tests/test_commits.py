@@ -11,6 +11,7 @@ from ledgerspark.functions import codec
 from ledgerspark.operators import commit, maintain
 from ledgerspark.plans import streams
 from ledgerspark.sources import blobs, log, packs
+from ledgerspark.streaming import events
 
 UPDATES = "array<struct<name:string,old:string,new:string>>"
 NAMED = "array<struct<name:string,payload:string>>"
@@ -41,6 +42,21 @@ def test_entries_reach_all_tables(spark):
     assert rows(empty["refs"]) == [("a", "n", "0"), ("a", "old", "9")] and empty["outbox"].count() == 0
 
 
+def test_a_stream_of_entries_is_applied(spark, tmp_path):
+    schema = f"repo string, seq long, updates {UPDATES}, events {NAMED}, packs array<struct<name:string>>"
+    for i, e in enumerate([("a", 1, [("m", None, "1")], [("push", "x")], [("p1",)]), ("a", 2, [("m", "1", "2"), ("n", None, "3")], None, [("p1",)]), ("b", 1, None, [("push", "y")], None)]):
+        spark.createDataFrame([e], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    hooks = spark.createDataFrame([("h", "a", ["push"], True), ("h", "a", ["push"], True)], "id string, repo string, events array<string>, active boolean")
+    at = str(tmp_path / "out")
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        # the second run starts anew and overwrites
+        events.apply_log(stream, hooks, at)
+        out = events.read_applied(spark, at)
+        assert rows(out["refs"]) == [("a", "m", "2"), ("a", "n", "3")] and rows(out["packs"]) == [("a", "p1")]
+        assert rows(out["outbox"], "repo", "seq", "hook_id") == [("a", 1, "h")] and rows(out["seqs"]) == [("a", 2), ("b", 1)]
+
+
 def test_pushes_and_deletes(spark):
     p = spark.createDataFrame(
         [
