@@ -3,6 +3,7 @@ code, and constant prefixes reach the scan. A null operand gives null unless sai
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -24,7 +25,8 @@ INTERNAL_SUFFIXES = ["localhost", ".localhost", ".internal", ".flycast", ".local
 INTERNAL_HOSTS = ["fly-local-6pn", "metadata", "instance-data"]
 # Code points that a case-folding file system ignores in names.
 IGNORED_CODE_POINTS = (
-    "‌‍‎‏‪‫‬‭‮⁪⁫⁬⁭⁮⁯⁠­͏ᅟᅠ឴឵ㅤﾠ﻿"
+    "\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u206a\u206b\u206c"
+    "\u206d\u206e\u206f\u2060\u00ad\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\ufeff"
 )
 
 
@@ -66,11 +68,14 @@ def valid_prefix(prefix: Column | str) -> Column:
     return ~p.startswith("/") & ~p.contains("\\") & ~p.rlike(r"(^|/)\.\.?(/|$)")
 
 
+#: The name of the metadata folder or one of its short ones, with what file systems drop: ignored code points anywhere in
+#: the long name, dots and blanks at the end, and a stream's name after a colon.
+_METADATA = "(?is)^(?:git~[12]|{0}*{1}{0}*)(?::.*|[. ]*)\\z".format(f"[{IGNORED_CODE_POINTS}]", f"[{IGNORED_CODE_POINTS}]*".join([r"\.", "g", "i", "t"]))
+
+
 def is_dot_git(component: Column | str) -> Column:
     """The spellings of the metadata folder that some file system takes for it."""
-    c = F.regexp_replace(F.lower(_c(component)), r"[. ]+$", "")
-    c = F.regexp_replace(c, r":.*$", "")
-    return c.isin(".git", "git~1", "git~2") | (F.translate(c, IGNORED_CODE_POINTS, "") == ".git")
+    return _c(component).rlike(_METADATA)
 
 
 def valid_tree_path(path: Column | str) -> Column:
@@ -107,10 +112,13 @@ def cacheable_path(path: Column | str) -> Column:
     return any_of([_c(path).contains(s) for s in CACHED_SEGMENTS])
 
 
+#: A host of the inner network, in lower case: a listed one, one that ends in a listed suffix, or is one but for its dot; a
+#: final dot aside.
+_INTERNAL = r"(?s)^(?:{}|{}|.*(?:{}))\.?\z".format(*["|".join(map(re.escape, x)) for x in (INTERNAL_HOSTS, [x.removeprefix(".") for x in INTERNAL_SUFFIXES], INTERNAL_SUFFIXES)])
+
+
 def host_allowed(host: Column | str) -> Column:
-    h = F.lower(F.regexp_replace(_c(host), r"\.$", ""))
-    inside = h.isin(INTERNAL_HOSTS) | any_of([(h == s.removeprefix(".")) | h.endswith(s) for s in INTERNAL_SUFFIXES])
-    return ~inside
+    return ~F.lower(_c(host)).rlike(_INTERNAL)
 
 
 def valid_bundle_name(name: Column | str) -> Column:
