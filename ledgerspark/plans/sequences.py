@@ -117,12 +117,13 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "w11_contiguity",
-    f"with s as (select distinct {K('repo_id')} repo, seq from wal_entry where ts % 7 <> 0), n as (select repo, seq, lead(seq) over (partition by repo order by seq) nx from s) select repo, seq + 1 as gap_from, nx - 1 as gap_to from n where nx - seq > 1",
+    f"with s as (select distinct {K('repo_id')} repo, seq from wal_entry where seq is not null and epoch(received_at) >= ts), n as (select repo, seq, lead(seq) over (partition by repo order by seq) nx from s) select repo, seq + 1 as gap_from, nx - 1 as gap_to from n where nx - seq > 1",
 )
 def w11(spark: SparkSession, d: str) -> DataFrame:
     from ledgerspark.operators.relational import sequence_gaps
 
-    return sequence_gaps(table(spark, d, "wal_entry").filter("ts % 7 <> 0").select(clean_key("repo_id").alias("repo"), "seq"), ["repo"], "seq")
+    # copies that came before they were written, by their clock, are not believed
+    return sequence_gaps(table(spark, d, "wal_entry").filter(F.unix_micros(F.col("received_at").cast("timestamp")) >= F.col("ts") * 1_000_000).select(clean_key("repo_id").alias("repo"), "seq"), ["repo"], "seq")
 
 
 @R.add(

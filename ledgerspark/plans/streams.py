@@ -45,14 +45,16 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "t3_reset_marker",
-    f"""with o as (select {K('repo_id')} repo, min(seq) oldest from wal_entry where seq % 4 <> 1 group by 1), a as (select *, length(repo) % 5 as af from o)
+    f"""with m as (select {K('repo_id')} repo, max(seq) // 64 * 64 upto from wal_entry group by 1), o as (select repo, min(seq) oldest from (select {K('repo_id')} repo, seq from wal_entry) join m using (repo) where seq > upto group by 1), a as (select *, length(repo) % 5 as af from o)
     select repo, true as reset, null::bigint as seq, null::int as pos from a where oldest > af + 1
     union all select distinct e.repo, false, e.seq, e.pos::int from {_EV} e join a using (repo) where oldest <= af + 1 and e.seq > af""",
 )
 def t3(spark: SparkSession, d: str) -> DataFrame:
-    """Entries whose number is 1 modulo 4 count as pruned at the beginning of each log."""
+    """Entries up to each repo's last snapshot, one for every 64 entries, count as pruned."""
     w = table(spark, d, "wal_entry")
-    oldest = w.filter("seq % 4 <> 1").groupBy(clean_key("repo_id").alias("repo")).agg(F.min("seq").alias("seq"))
+    seqs = w.select(clean_key("repo_id").alias("repo"), "seq")
+    upto = seqs.groupBy("repo").agg((F.floor(F.max("seq") / 64) * 64).alias("upto"))
+    oldest = seqs.join(upto, "repo").filter("seq > upto").groupBy("repo").agg(F.min("seq").alias("seq"))
     after = oldest.select("repo", (F.length("repo") % 5).cast("long").alias("after"))
     return ev.with_resets(ev.ref_events(w).select("repo", "seq", "pos").distinct(), oldest, after)
 
