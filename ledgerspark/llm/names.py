@@ -212,12 +212,13 @@ def _fit(known: DataFrame, on: list[str], name: str) -> DataFrame:
 
 
 def _letter_off(name: Column) -> Column:
-    """What is left of a full name when one of its words has lost no letter or any one: names with such a form in common
-    are a letter changed, added, lost or swapped with its neighbour apart."""
+    """What is left of a full name when one of its words has lost no letter or any one, as hashes: names with such a form in
+    common are a letter changed, added, lost or swapped with its neighbour apart. Hashes, so that a very long word has as many
+    forms as letters, but not their square in bytes."""
     two = F.split(name, r"\|")
 
     def off(w: Column, other: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.length(w)), lambda j: F.concat(F.substring(w, F.lit(1), F.greatest(j - 1, F.lit(0))), F.substring(w, F.greatest(j, F.lit(0)) + 1, F.length(w)), F.lit("~"), other))
+        cut = F.transform(F.sequence(F.lit(0), F.length(w)), lambda j: F.xxhash64(F.concat(F.substring(w, F.lit(1), F.greatest(j - 1, F.lit(0))), F.substring(w, j + 1, F.length(w))), other))
         return F.array_distinct(cut)
 
     return F.array_distinct(F.concat(off(two[0], two[1]), off(two[1], two[0])))
@@ -248,7 +249,7 @@ def ties(signatures: DataFrame, id_col: str = "sig_id", author_col: str = "autho
     edges = [keyed.select(node.alias("a"), F.concat(F.lit("n:"), "key").alias("form"), sure)]
     # what each full name offers to others' rewritings
     two = F.split("name", r"\|")
-    near_miss = F.transform(_letter_off(F.col("name")), lambda x: F.concat(F.lit("d:"), x))
+    near_miss = F.transform(_letter_off(F.col("name")), lambda x: F.concat(F.lit("d:"), x.cast("string")))
     forms = F.array(
         F.concat(F.lit("n:"), "name"),
         F.concat(F.lit("n:"), "name", F.lit("|"), F.coalesce("mid", F.lit("?"))),

@@ -72,3 +72,10 @@ def test_other_short_forms(spark):
     df = spark.createDataFrame([(1, "Wilhelmina Dray", "w.dray@x.example"), (2, "Mina Dray", "mina.dray@x.example")], "sig_id long, author string, email string")
     assert len({r.entity for r in N.link(df).collect()}) == 2
     assert len({r.entity for r in N.link(df, nicknames={"wilhelmina": ["mina"]}).collect()}) == 1
+
+
+def test_long_and_odd_names(spark):
+    long = "x" * 4000 + " " + "y" * 3000
+    sigs = [(long, None), (long, None), (long.replace("xy", "xzy"), "a@b.example"), ("x" * 3999 + " " + "y" * 3000, None), ("  ", " "), ("@", "@"), ("\0", "a@"), ("日本 太郎", "taro@x.example"), ("日本 太郎", None)]
+    got = groups(spark, sigs)
+    assert [0, 1, 3] in [[i for i in g if i != 2] for g in got] and [7, 8] in got
