@@ -152,8 +152,7 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     root = f"{shared_dir(spark)}/ledgerspark-log-{uuid.uuid4().hex}"
     up = F.transform("updates", lambda u: F.struct(u["name"].alias("Name"), u["old"].alias("Old"), u["new"].alias("New")))
     body = entries.select("repo", "seq", codec.gzip_col(F.encode(F.to_json(F.struct("seq", up.alias("updates"))), "UTF-8")).alias("data"))
-    n = logs.write_entries(body, root)
-    return logs.current_refs(logs.read_written(spark, root, n))
+    return logs.current_refs(logs.through_store(body, root))
 
 
 @R.add("x8_signatures", f"select id, 'sha256=' || {hmac("encode(coalesce(webhook_id, ''))", "encode(coalesce(payload, ''))")} as signature from deliveries")

@@ -10,6 +10,7 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,7 +245,7 @@ class HadoopStore(Store):
 
 
 class SharedStore:
-    """Writing to a root URI that all executors reach: a mounted folder (file:), or what pyarrow has a file system for.
+    """Writing to, listing and reading a root URI that all executors reach: a mounted folder (file:), or what pyarrow has a file system for.
     A repeated write replaces the file, so that a retried task does no harm."""
 
     def __init__(self, root: str) -> None:
@@ -253,8 +254,56 @@ class SharedStore:
         # Hadoop writes local paths as file:/x too, which pyarrow takes for a relative one
         self.fs, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root) if ":" in root else f"file://{root}")
 
+        self.local = isinstance(self.fs, fs.LocalFileSystem)
+        self._made: set[str] = set()
+
     def put(self, repo: str, name: str, data: bytes) -> None:
         to = f"{self.root}/{repo}/{name}"
-        self.fs.create_dir(os.path.dirname(to), recursive=True)
+        folder = os.path.dirname(to)
+        if folder not in self._made:
+            self.fs.create_dir(folder, recursive=True)
+            if len(self._made) >= 1 << 16:
+                self._made.clear()
+            self._made.add(folder)
         with self.fs.open_output_stream(to, compression=None) as f:
             f.write(data)
+
+    def below(self, folder: str = "") -> Iterator[tuple[str, bool]]:
+        """(name relative to the root, whether it is a folder) of what lies directly below a folder; on a mounted folder one
+        by one, so that a large one takes no memory."""
+        at = f"{self.root}/{folder}".rstrip("/")
+        prefix = f"{folder}/" if folder else ""
+        if self.local:
+            with os.scandir(at) as found:
+                for e in found:
+                    yield prefix + e.name, e.is_dir()
+        else:
+            from pyarrow import fs
+
+            for i in self.fs.get_file_info(fs.FileSelector(at)):
+                yield prefix + i.base_name, i.type == fs.FileType.Directory
+
+    def files(self, folder: str) -> Iterator[str]:
+        """Names, relative to the root, of all files below a folder, at any depth."""
+        todo = [folder]
+        while todo:
+            for name, is_dir in self.below(todo.pop()):
+                if is_dir:
+                    todo.append(name)
+                else:
+                    yield name
+
+    def read(self, name: str) -> bytes:
+        if self.local:
+            with open(f"{self.root}/{name}", "rb") as f:
+                return f.read()
+        with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as f:
+            return f.read()
+
+    def remove(self, folder: str) -> None:
+        """A folder with all that is in it, if it is there."""
+        if self.local:
+            shutil.rmtree(f"{self.root}/{folder}", ignore_errors=True)
+        else:
+            with contextlib.suppress(FileNotFoundError):
+                self.fs.delete_dir(f"{self.root}/{folder}")

@@ -6,19 +6,24 @@ Layout: <root>/<repo>/refs/wal/<16 digits>.json, some of them gzip whatever thei
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.codec import gunzip_col, gzip_if_smaller
 from ledgerspark.operators.relational import sequence_gaps
 from ledgerspark.operators.windows import latest
-from ledgerspark.shared import cut, discard
+from ledgerspark.shared import cut, discard, union_all
 from ledgerspark.sources.blobs import SharedStore, Store
 
 ENTRY = "seq long, updates array<struct<Name:string,Old:string,New:string>>, events array<struct<Name:string,Payload:string>>, packs array<struct<name:string,data:string,idx:string>>, ts long"
 SNAPSHOT = "seq long, default_branch string, public boolean, refs array<struct<name:string,target:string>>, ts long"
 _REPO = r"([^/]+)/refs/"
+_ENTRY_FILE = re.compile(r"(.+?)/refs/wal/([0-9]+)\.json", re.S)
 
 
 def entry_name(seq: int) -> str:
@@ -27,27 +32,88 @@ def entry_name(seq: int) -> str:
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
     """(repo, seq, updates, events, packs, ts) of all entries of all repos below root; the number is the file's name's,
-    names that are no number are ignored. An unreadable entry has nulls in all but repo and seq."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
-    named = files.withColumn("seq", F.regexp_extract("path", r"/refs/wal/(\d+)\.json$", 1)).filter("seq <> ''")
+    names that are no number are ignored. An unreadable entry has nulls in all but repo and seq.
+
+    Files are listed and read by the executors, the folders below root shared out among them and then the files, so that
+    the driver knows none of them. Only where pyarrow has no file system for root does the driver list them."""
+    try:
+        SharedStore(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+        named = files.select(F.regexp_extract("path", _REPO, 1).alias("repo"), F.regexp_extract("path", r"/refs/wal/(\d+)\.json$", 1).alias("seq"), "content").filter("seq <> ''")
+    else:
+        n = _tasks(spark)
+        folders = spark.range(1, numPartitions=1).mapInArrow(_folders(root), "folder string")
+        files = folders.repartition(n, "folder").mapInArrow(_entry_files(root), "repo string, seq string, name string")
+        named = files.repartition(n, "name").mapInArrow(_contents(root), "repo string, seq string, content binary")
     body = F.from_json(F.decode(gunzip_col("content"), "UTF-8"), ENTRY)
-    return named.select(F.regexp_extract("path", _REPO, 1).alias("repo"), F.col("seq").cast("long").alias("seq"), body.alias("e")).select("repo", "seq", "e.updates", "e.events", "e.packs", "e.ts")
+    return named.select("repo", F.col("seq").cast("long").alias("seq"), body.alias("e")).select("repo", "seq", "e.updates", "e.events", "e.packs", "e.ts")
+
+
+#: Rows and bytes that a batch of listed or read files has.
+_BATCH, _BATCH_BYTES = 4096, 8 << 20
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _folders(root: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = SharedStore(root)
+        for rb in batches:
+            if rb.num_rows:
+                names = (name for name, is_dir in store.below() if is_dir)
+                while some := list(islice(names, _BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["folder"])
+
+    return run
+
+
+def _entry_files(root: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = SharedStore(root)
+        for rb in batches:
+            found = (m for folder in rb.column("folder").to_pylist() for name in store.files(folder) if (m := _ENTRY_FILE.fullmatch(name)))
+            while some := list(islice(found, _BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([m[g] for m in some], pa.string()) for g in (1, 2, 0)], ["repo", "seq", "name"])
+
+    return run
+
+
+def _contents(root: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = SharedStore(root)
+        for rb in batches:
+            at, data, size = 0, [], 0
+            names = rb.column("name").to_pylist()
+            for i, name in enumerate(names):
+                data.append(store.read(name))
+                size += len(data[-1])
+                if size >= _BATCH_BYTES or i + 1 == len(names):
+                    part = rb.slice(at, len(data))
+                    yield pa.RecordBatch.from_arrays([part.column("repo"), part.column("seq"), pa.array(data, pa.binary())], ["repo", "seq", "content"])
+                    at, data, size = i + 1, [], 0
+
+    return run
 
 
 def write_entries(bodies: DataFrame, root: str) -> int:
     """Writes bodies(repo, seq, data), one row per entry, as files below root, which all executors must share; gives
-    their number."""
-    seen = Observation()
+    their number. If all executors are on one machine, one task writes: a file system makes one file at a time, and more
+    writers take no less time but wait for it in the kernel, at full load."""
 
-    def write(rows) -> None:  # noqa: ANN001
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = SharedStore(root)
-        for r in rows:
-            store.put(r["repo"], entry_name(r["seq"]), bytes(r["data"]))
+        for rb in batches:
+            for repo, seq, data in zip(rb.column("repo").to_pylist(), rb.column("seq").to_pylist(), rb.column("data").to_pylist(), strict=True):
+                store.put(repo, entry_name(seq), data)
+            yield pa.RecordBatch.from_arrays([pa.array([rb.num_rows], pa.int64())], ["n"])
 
-    bodies = cut(bodies.observe(seen, F.count(F.lit(1)).alias("n")))
-    bodies.foreachPartition(write)
-    discard(bodies)
-    return seen.get["n"]
+    spark = bodies.sparkSession
+    if spark.sparkContext.master.startswith("local") and SharedStore(root).local:
+        bodies = bodies.coalesce(1)
+    return bodies.select("repo", "seq", "data").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
 
 
 def read_written(spark: SparkSession, root: str, n: int) -> DataFrame:
@@ -59,6 +125,41 @@ def read_written(spark: SparkSession, root: str, n: int) -> DataFrame:
     return out
 
 
+def through_store(bodies: DataFrame, root: str, *, at_once: int = 1 << 16, most: int = 16, stretch: int = 4096) -> DataFrame:
+    """bodies(repo, seq, data), one row per entry, written as files below root and read back as read_entries() has them, with
+    an error if any is lost.
+
+    A file takes a block of the disk, however small it is, so the log goes through the store in slices of about at_once
+    entries, or in `most` slices if they would be more; the files of one are deleted when they are read. A slice has whole
+    logs, or whole stretches of so many numbers of a longer one."""
+    spark, seen = bodies.sparkSession, Observation()
+    # the files of a folder are written by one task, one after the other
+    bodies = bodies.withColumn("_of", F.xxhash64("repo", F.floor(F.col("seq") / stretch)))
+    bodies = cut(bodies.observe(seen, F.count(F.lit(1)).alias("n")).repartition(_tasks(spark), "_of").sortWithinPartitions("repo", "seq"))
+    slices = min(most, max(1, -(-seen.get["n"] // at_once)))
+    of = F.pmod("_of", F.lit(slices))
+    out = []
+    for i in range(slices):
+        at = f"{root}/{i}"
+        n = write_entries(bodies.filter(of == i), at)
+        if n:
+            out.append(read_written(spark, at, n))
+            out[-1].select("repo").distinct().foreachPartition(_remover(at))
+    discard(bodies)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return union_all(out) if out else spark.createDataFrame([], f"repo string, {ENTRY}").select("repo", "seq", "updates", "events", "packs", "ts")
+
+
+def _remover(root: str):  # noqa: ANN202
+    def run(rows) -> None:  # noqa: ANN001
+        store = SharedStore(root)
+        for r in rows:
+            store.remove(r["repo"])
+
+    return run
+
+
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "snapshot.json").load(root)
     body = F.from_json(F.decode(gunzip_col("content"), "UTF-8"), SNAPSHOT)

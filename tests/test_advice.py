@@ -39,6 +39,23 @@ def test_lost_log_files_are_noticed(spark, tmp_path):
         log.read_written(spark, f"file://{tmp_path}/log", n)
 
 
+def test_driver_knows_no_log_files(spark, tmp_path):
+    root, repos = f"file://{tmp_path}/log", ["a", "_b", "c d", "org/e"]
+    rows = [(r, q) for r in repos for q in (1, 2, 4096, 70_000)]
+    body = spark.createDataFrame(rows, "repo string, seq long").withColumn("data", F.encode(F.concat(F.lit('{"updates": [{"Name": "'), "seq", F.lit('"}]}')), "UTF-8"))
+    n = log.write_entries(body, root)
+    (tmp_path / "log/a/refs/wal/x.json").write_text("no entry")
+    (tmp_path / "log/a/refs/snapshot.json").write_text("{}")
+    got = log.read_entries(spark, root)
+    assert n == len(rows) and not got.inputFiles()  # none of them is in the driver's plan
+    assert sorted((r.repo, r.seq, r.updates[0].Name) for r in got.collect()) == sorted((r, q, str(q)) for r, q in rows)
+    for limits in ({}, {"at_once": 3}, {"at_once": 1, "most": 2}):
+        got = log.through_store(body, f"{root}s", **limits)
+        assert sorted((r.repo, r.seq, r.updates[0].Name) for r in got.collect()) == sorted((r, q, str(q)) for r, q in rows)
+        assert not os.path.exists(f"{tmp_path}/logs")
+    assert log.through_store(body.limit(0), f"{root}s").count() == 0
+
+
 def test_lineage_of_deep_commits(spark, tmp_path):
     parent = {f"d{i}": f"d{i - 1}" if i else "absent" for i in range(150)}  # beyond the depth that paths() takes
     parent |= {f"w{i}": "d3" for i in range(40)} | {f"v{i}": f"w{i}" for i in range(9)}
