@@ -264,28 +264,32 @@ def _spans(items: Items, text: str, least: int, one_in: int) -> list[tuple[objec
     # stretches of twice the length have a half that is one as well, so that many edits need be tried
     seed = seed_words(least, one_in)
     most = (2 * least - 1) // one_in
-    sam, out, done = items.sam, [], set()
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    last: dict[tuple[int, int], int] = {}
+    sam, out = items.sam, []
+    # runs of words on one diagonal: place in the text and the items of the first seed, and the last place in the text
+    seeds: dict[int, list[list[int]]] = {}
+    last: dict[tuple[int, int], list[int]] = {}
     for j, s, n in sam.stream(ids, seed):
         while s and sam.length[s] >= seed or n >= seed and s:
             for end in sam.ends(s):
                 diagonal = (items.item[end], end - j)
-                if last.get(diagonal) != j - 1:
-                    seeds.setdefault(items.item[end], []).append((j, end))
-                last[diagonal] = j
+                run = last.get(diagonal)
+                if run is None or run[2] < j - 1:
+                    run = last[diagonal] = [j, end, j]
+                    seeds.setdefault(items.item[end], []).append(run)
+                run[2] = j
             s = sam.link[s]
             n = sam.length[s] if s >= 0 else 0
             if n < seed:
                 break
     found = words(text) if seeds else []
+    span = 2 * least + most
     for i, places in seeds.items():
         lo, hi = items.start[i], items.start[i] + items.size[i]
-        for j, end in places:
-            if any(a <= j <= b for k, a, b in done if k == i) or not _may_hold(ids, j + 1 - seed, j + 1, items.words_of[i], least, one_in):
+        done: list[tuple[int, int]] = []
+        for j, end, until in places:
+            if any(a <= j and until <= b for a, b in done) or not _may_hold(ids, j + 1 - seed, j + 1, items.words_of[i], least, one_in):
                 continue
             # the seed's words are j - seed + 1 .. j; both ways from there
-            span = 2 * least + most
             fw, bw = sam.words[end + 1 : min(hi, end + 1 + span)], sam.words[max(lo, end + 1 - seed - span) : end + 1 - seed][::-1]
             right = _reach(fw, ids[j + 1 : j + 1 + span + most], most)
             left = _reach(bw, ids[max(0, j + 1 - seed - span - most) : j + 1 - seed][::-1], most)
@@ -297,11 +301,27 @@ def _spans(items: Items, text: str, least: int, one_in: int) -> list[tuple[objec
             if best:
                 n, e, k = best
                 a, b = j + 1 - seed - left[k][1], j + right[e - k][1]
-                done.add((i, a, b))
+                # and on from both ends, as long as there is more of the item
+                at, to = end + 1 - seed - left[k][0], end + right[e - k][0]
+                while more := _more(sam.words[to + 1 : min(hi, to + 1 + span)], ids[b + 1 : b + 1 + span + most], most, one_in):
+                    to, b, n, e = to + more[0], b + more[1], n + more[0], e + more[2]
+                while more := _more(sam.words[max(lo, at - span) : at][::-1], ids[max(0, a - span - most) : a][::-1], most, one_in):
+                    at, a, n, e = at - more[0], a - more[1], n + more[0], e + more[2]
+                done.append((a, b))
                 out.append((items.keys[i], found[a][1], found[b][2], n, e))
     return out
 
 
+def _more(a: list[int], b: list[int], most: int, one_in: int) -> tuple[int, int, int] | None:
+    """(words of a, words of b, edits) of the longest piece at their beginnings that ends in a match and has at most one
+    edit in one_in words, so that a stretch with it is one as well; None if there is none."""
+    best = None
+    for e, (n, m) in enumerate(_reach(a, b, most)):
+        if n and one_in * e <= n and (best is None or n > best[0]):
+            best = (n, m, e)
+    return best
+
+
 def leak_spans(
     docs: DataFrame,
     items: DataFrame,
@@ -319,7 +339,7 @@ def leak_spans(
     words (of the item) and edits.
 
     A stretch is at least `least` consecutive words of the item, first and last of them in the document, with at most
-    one word in one_in changed, added or lost. Words are compared apart from markup, entities, layout, case and
+    one word in one_in changed, added or lost; it goes on for as long as the document follows the item. Words are compared apart from markup, entities, layout, case and
     punctuation; comments, footnotes and arguments of templates are read as texts of their own. An opening sentence with
     which shared_opening items begin, of all items, is an instruction and no part of them.
 
@@ -412,8 +432,9 @@ def _arrow(rb: pa.RecordBatch, item: str) -> pa.Schema:
 
 def without_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.5) -> DataFrame:
     """The documents with the stretches taken out of the text; a document of which more than max_share of the
-    characters lie in stretches is left out as a whole. Each document's spans are merged and met by its id, which must
-    be unique; documents without spans stay as they are. Null texts stay null."""
+    characters lie in stretches is left out as a whole. Each document's spans are merged and met by its id; rows with
+    equal ids must have equal texts, and a null id has no spans. Documents without spans stay as they are. Null texts
+    stay null."""
     merged = spans.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     last = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
     keep = F.aggregate(

@@ -45,8 +45,10 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p7_cleaned")
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """The documents without the stretches, and without the documents that are stretches for the most part."""
-    docs = table(spark, d, "documents")
-    return leakage.without_spans(docs, cut(leakage.leak_spans(docs, table(spark, d, "benchmark")))).select("doc_id", "text")
+    # equal texts hold equal stretches, while doc_id may be null or repeated
+    docs = table(spark, d, "documents").withColumn("_key", F.sha2("text", 256))
+    spans = cut(leakage.leak_spans(docs, table(spark, d, "benchmark"), id_col="_key"))
+    return leakage.without_spans(docs, spans, id_col="_key").select("doc_id", "text")
 
 
 @R.add("p4_entities")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ledgerspark.llm import leakage as L
 from ledgerspark.llm.markup import plain, segments, words
 
@@ -118,3 +119,34 @@ def test_markup_keeps_places():
     for t in ("a <!-- x --> b [[c|d]] {{e|f=g}} &amp; '''h'''", "{{x", "[[a|b]", "\0 nul", "é&eacute;", "<ref>x", "a" * 3 + "\U0001F600"):
         assert len(plain(t)) == len(t)
     assert [w for w, _, _ in words(plain("Left-handed isn't [[x|wo]]rd <b>bo</b>ld so­ft"))] == ["lefthanded", "isnt", "word", "bold", "soft"]
+
+
+LONG = [f"w{i * 7919 % 1009}" for i in range(300)]  # no word twice
+
+
+def test_long_stretches_are_whole():
+    item, pre, post = " ".join(LONG), "Before it all. ", " And after it all."
+    changed = ["other" if i % 9 == 5 else w for i, w in enumerate(LONG)]
+    for copy, edits in ((LONG, 0), (changed, 33), (LONG[:120] + ["added"] * 5 + LONG[125:], 5)):
+        text = pre + " ".join(copy) + post
+        assert [(text[a:b], n, e) for _, a, b, n, e in found(text, item)] == [(" ".join(copy), 300, edits)]
+    for part in (LONG[:60], LONG[100:230]):  # copies in a row
+        text = pre + " ".join(part * 3) + post
+        left = set(range(len(pre), len(text) - len(post)))
+        for _, a, b, _, _ in found(text, item):
+            left -= set(range(a, b))
+        assert all(text[k] == " " for k in left)
+
+
+def test_cleaned_documents_by_row(spark, tmp_path):
+    clean = "A text of other things that goes on and on. " * 90
+    text = {k: f"{k} {clean}{' '.join(LONG[: 40 * k])} {clean}end {k}" for k in range(1, 6)}
+    docs = [(1, text[1]), (1, text[5]), (1, clean), (None, text[3]), (None, clean), (2, text[5]), (3, None), (4, ""), (5, " ".join(LONG))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(LONG))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = __spark_entry__.queries()
+    got = [(r.doc_id, r.text) for r in run["p7_cleaned"](spark, str(tmp_path)).collect()]
+    bare = lambda k: f"{k} {clean} {clean}end {k}"
+    want = [(1, bare(1)), (1, bare(5)), (1, clean), (None, bare(3)), (None, clean), (2, bare(5)), (3, None), (4, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [tuple(r) for r in run["p7_items"](spark, str(tmp_path)).select("item_id", "longest").collect()] == [(7, 300)]
